@@ -29,9 +29,15 @@ def standings_view(s):
     return ops.standings_view(s.equipos, s.clubes, s.partidos)
 
 
-@query("standings_left", f"SELECT * FROM ({VIEW_SQL}) WHERE pj = 0")
+@query(
+    "standings_left",
+    VIEW_SQL.replace("own IS NOT NULL", "fecha < DATE '1995-04-01' AND own IS NOT NULL").replace(
+        "own, goles_visitante opp", "own, goles_visitante opp, fecha"
+    ).replace("goles_visitante, goles_local FROM", "goles_visitante, goles_local, fecha FROM"),
+)
 def standings_left(s):
-    return ops.standings_view(s.equipos, s.clubes, s.partidos).where("pj = 0")
+    """Table after the first quarter: most teams have not played and still appear, with zeros."""
+    return ops.standings_view(s.equipos, s.clubes, s.partidos.where("fecha < date'1995-04-01'"))
 
 
 @query(

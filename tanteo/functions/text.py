@@ -8,8 +8,9 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_BLANKS = r"[\s\u00a0\ufeff]"
-_EDGE_BLANKS = rf"^{_BLANKS}+|{_BLANKS}+$"
+# Characters trimmed from the ends of a text, and the same as a pattern.
+BLANKS = " \t\n\r\f\v\u00a0\ufeff"
+_BLANK_RUN = r"[\s\u00a0\ufeff]+"
 
 # Fixed value: text a spreadsheet would run as a formula.
 FORMULA_START = r"^[\t\r\n ]*[=+\-@]"
@@ -19,20 +20,21 @@ DEFAULT_INITIALS = "7M"
 
 @cache
 def _folding() -> tuple[str, str]:
-    """Precomposed Latin letters and their base letters, derived from Unicode decomposition."""
+    """Precomposed Latin letters and their base letters; combining marks, which have no base, come last and vanish."""
     source, target = [], []
     for code in (*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)):
         char = chr(code)
-        base = "".join(c for c in unicodedata.normalize("NFD", char) if not "\u0300" <= c <= "\u036f")
+        base = "".join(c for c in unicodedata.normalize("NFD", char) if not unicodedata.combining(c))
         if base != char and len(base) == 1:
             source.append(char)
             target.append(base)
-    return "".join(source), "".join(target)
+    marks = [chr(code) for code in range(0x0300, 0x0370)]
+    return "".join(source + marks), "".join(target)
 
 
 def strip_edges(text: Column) -> Column:
     """Trim every kind of blank, not only spaces."""
-    return F.regexp_replace(text, _EDGE_BLANKS, "")
+    return F.trim(text, F.lit(BLANKS))
 
 
 def null_if_blank(text: Column) -> Column:
@@ -50,8 +52,9 @@ def is_blank(text: Column) -> Column:
 
 
 def fold_accents(text: Column) -> Column:
-    source, target = _folding()
-    return F.regexp_replace(F.translate(text, source, target), r"[\u0300-\u036f]", "")
+    """Text without accents; the per-character lookup runs only on text that is not plain ASCII."""
+    is_ascii = F.octet_length(text) == F.char_length(text)
+    return F.when(is_ascii, text).otherwise(F.translate(text, *_folding()))
 
 
 def normalize_text(text: Column) -> Column:
@@ -66,7 +69,7 @@ def normalize_key(text: Column) -> Column:
 
 def initials(name: Column) -> Column:
     """First letters of the first two words, upper case."""
-    words = F.filter(F.split(F.coalesce(name, F.lit("")), rf"{_BLANKS}+"), lambda w: w != "")
+    words = F.filter(F.split(F.coalesce(name, F.lit("")), _BLANK_RUN), lambda w: w != "")
     letters = F.transform(F.slice(words, 1, 2), lambda w: F.substring(w, 1, 1))
     return F.coalesce(F.nullif(F.upper(F.array_join(letters, "")), F.lit("")), F.lit(DEFAULT_INITIALS))
 

@@ -13,6 +13,37 @@ from tanteo.operators.quality import SOURCE_TYPES
 NORMAL, RESCHEDULED = SOURCE_TYPES
 
 
+def identified(publications: DataFrame) -> DataFrame:
+    """Add ``scope`` (match-up identity), ``kind``, ``schedule`` and ``error`` to published fixtures.
+
+    The identity is both team ids when resolved, else branch, category, division, clubs and team letters. Every text is
+    normalised once, in its own step, and the rules then compare the results.
+    """
+    parsed = publications.withColumns(
+        {
+            "_home_id": _positive("local_equipo_id"),
+            "_away_id": _positive("visitante_equipo_id"),
+            "_branch": F.upper(F.trim(F.col("rama"))),
+            "_home_code": _code("local_equipo_codigo"),
+            "_away_code": _code("visitante_equipo_codigo"),
+            "kind": F.trim(F.col("tipo_fuente")),
+            "schedule": schedule_key(),
+            **{f"_{c}": normalize_key(F.col(c)) for c in ("categoria", "division", "local", "visitante")},
+        }
+    )
+    home, away = F.col("_home_id"), F.col("_away_id")
+    by_ids = F.concat_ws("|", F.lit("ids"), home.cast("string"), away.cast("string"))
+    by_names = F.concat_ws(
+        "|", F.lit("scope"), "_branch", "_categoria", "_division", "_local", "_home_code", "_visitante", "_away_code"
+    )
+    return (
+        parsed.withColumn("error", _identity_error())
+        .withColumn("scope", F.when(F.col("error").isNull(), F.when(home.isNotNull(), by_ids).otherwise(by_names)))
+        .withColumn("error", F.coalesce("error", _publication_error()))
+        .select(*publications.columns, "scope", "kind", "schedule", "error")
+    )
+
+
 def _positive(column: str) -> Column:
     number = F.trim(F.col(column).cast("string")).try_cast("bigint")
     return F.when(number > 0, number)
@@ -22,61 +53,49 @@ def _code(column: str) -> Column:
     return F.upper(F.trim(F.coalesce(F.col(column), F.lit("A"))))
 
 
-def _branch() -> Column:
-    return F.upper(F.trim(F.col("rama")))
-
-
-def fixture_scope_key() -> Column:
-    """Match-up identity: both team ids, else branch, category, division, clubs and team letters."""
-    home, away = _positive("local_equipo_id"), _positive("visitante_equipo_id")
-    by_ids = F.concat_ws("|", F.lit("ids"), home.cast("string"), away.cast("string"))
-    by_names = F.concat_ws(
-        "|", F.lit("scope"), _branch(), normalize_key(F.col("categoria")), normalize_key(F.col("division")),
-        normalize_key(F.col("local")), _code("local_equipo_codigo"),
-        normalize_key(F.col("visitante")), _code("visitante_equipo_codigo"),
-    )
-    return F.when(fixture_error().isNull(), F.when(home.isNotNull(), by_ids).otherwise(by_names))
-
-
 def schedule_key() -> Column:
     """Date and clock time of a publication, or its date with a marker when the time is unknown."""
     time = F.substring(F.trim(F.coalesce(F.col("hora"), F.lit(""))), 1, 5)
     return F.concat_ws("|", F.trim(F.col("fecha")), F.coalesce(F.nullif(time, F.lit("")), F.lit("sin-hora")))
 
 
-def fixture_error() -> Column:
+def _first_broken(rules: list[tuple[Column, Column]]) -> Column:
+    return F.coalesce(*[F.when(bad, message) for bad, message in rules])
+
+
+def _missing(column: str) -> tuple[Column, Column]:
+    return is_blank(strip_edges(F.col(column).cast("string"))), F.lit(f"Fixture sin {column}")
+
+
+def _identity_error() -> Column:
     """First structural problem of a publication's identity, null when there is none."""
-    home, away = _positive("local_equipo_id"), _positive("visitante_equipo_id")
+    home, away = F.col("_home_id"), F.col("_away_id")
     named = home.isNull() & away.isNull()
-    home_key, away_key = normalize_key(F.col("local")), normalize_key(F.col("visitante"))
-
-    def missing(column: str) -> tuple[Column, Column]:
-        return is_blank(strip_edges(F.col(column).cast("string"))), F.lit(f"Fixture sin {column}")
-
-    rules = [
-        missing("categoria"),
-        missing("division"),
-        missing("rama"),
-        (~_branch().isin("M", "F"), F.concat(F.lit("Rama inválida: "), _branch())),
-        (home.isNull() != away.isNull(), F.lit("Fixture con un solo equipo_id resuelto")),
-        (home == away, F.lit("Local y visitante no pueden ser el mismo equipo")),
-        *[(named & bad, message) for bad, message in (missing("local"), missing("visitante"))],
-        (named & ((home_key == "") | (away_key == "") | (home_key == away_key)),
-         F.lit("Clubes local/visitante inválidos")),
-        (named & ((_code("local_equipo_codigo") == "") | (_code("visitante_equipo_codigo") == "")),
-         F.lit("Fixture sin equipo_codigo")),
-    ]
-    return F.coalesce(*[F.when(bad, message) for bad, message in rules])
+    home_key, away_key = F.col("_local"), F.col("_visitante")
+    return _first_broken(
+        [
+            *map(_missing, ("categoria", "division", "rama")),
+            (~F.col("_branch").isin("M", "F"), F.concat(F.lit("Rama inválida: "), F.col("_branch"))),
+            (home.isNull() != away.isNull(), F.lit("Fixture con un solo equipo_id resuelto")),
+            (home == away, F.lit("Local y visitante no pueden ser el mismo equipo")),
+            *[(named & bad, message) for bad, message in map(_missing, ("local", "visitante"))],
+            (
+                named & ((home_key == "") | (away_key == "") | (home_key == away_key)),
+                F.lit("Clubes local/visitante inválidos"),
+            ),
+            (named & ((F.col("_home_code") == "") | (F.col("_away_code") == "")), F.lit("Fixture sin equipo_codigo")),
+        ]
+    )
 
 
-def publication_error() -> Column:
-    """Identity problems, then those of the source type and the date."""
-    kind = F.trim(F.col("tipo_fuente"))
-    return F.coalesce(
-        fixture_error(),
-        F.when(is_blank(F.col("tipo_fuente")), "Fixture sin tipo_fuente"),
-        F.when(~kind.isin(*SOURCE_TYPES), F.concat(F.lit("tipo_fuente inválido: "), kind)),
-        F.when(is_blank(F.col("fecha").cast("string")), "Fixture sin fecha"),
+def _publication_error() -> Column:
+    """Problems of the source type and the date."""
+    return _first_broken(
+        [
+            _missing("tipo_fuente"),
+            (~F.col("kind").isin(*SOURCE_TYPES), F.concat(F.lit("tipo_fuente inválido: "), F.col("kind"))),
+            _missing("fecha"),
+        ]
     )
 
 
@@ -102,11 +121,9 @@ def prioritize(publications: DataFrame) -> Prioritized:
     A single rescheduling wins, several are ambiguous; without one, a single normal date wins. Repeats are merged by
     partial aggregation twice, so a match-up published very often never meets in one task.
     """
-    checked = publications.withColumn("error", publication_error())
-    rejected = checked.where("error is not null")
-    valid = checked.where("error is null").drop("error").withColumns(
-        {"scope": fixture_scope_key(), "kind": F.trim(F.col("tipo_fuente")), "schedule": schedule_key()}
-    )
+    checked = identified(publications)
+    rejected = checked.where("error is not null").select(*publications.columns, "error")
+    valid = checked.where("error is null").drop("error")
     schedules = distinct_schedules(valid, "scope", "kind", "schedule")
     normal, moved = F.col("kind") == NORMAL, F.col("kind") == RESCHEDULED
     matchups = schedules.groupBy("scope").agg(
@@ -140,7 +157,7 @@ def prioritize(publications: DataFrame) -> Prioritized:
 
 def ambiguous_versions(publications: DataFrame, ambiguous: DataFrame) -> DataFrame:
     """Every publication of the ambiguous match-ups."""
-    keyed = publications.where(publication_error().isNull()).withColumn("scope", fixture_scope_key())
+    keyed = identified(publications).where("error is null").select(*publications.columns, "scope")
     return keyed.join(ambiguous.select("scope", "tipo"), "scope")
 
 
