@@ -1 +1,328 @@
+"""Scopes, calendars, summaries, search and context resolution."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from checks.league_sql import norm, rank_of, ratio, safe_url
+from checks.registry import query
+from tanteo.operators import calendar, directory, scope
+from tanteo.plans.reports import matches_report
+from tanteo.sources.star_league import TODAY
+
+CATEGORY, DIVISION, BRANCH = "Mayores", "LHC Hipotecario Seguros", "M"
+IN_SCOPE = f"category = '{CATEGORY}' AND division = '{DIVISION}' AND branch = '{BRANCH}'"
+SCOPED_IDS = f"(SELECT team_id FROM s_cards WHERE {IN_SCOPE})"
+SCOPED_MATCHES = f"(SELECT * FROM s_matches WHERE home_team_id IN {SCOPED_IDS} AND away_team_id IN {SCOPED_IDS})"
+TOP_MATCHES = """(SELECT * FROM s_matches WHERE home_team_id IN (SELECT team_id FROM s_top_teams)
+    AND away_team_id IN (SELECT team_id FROM s_top_teams))"""
+
+
+def _scoped(s):
+    return scope.scope_teams(s.cards, CATEGORY, DIVISION, BRANCH)
+
+
+@query("scope_teams", f"SELECT team_id, team_code FROM s_cards WHERE {IN_SCOPE}")
+def scope_teams(s):
+    return scope.scope_teams(s.teams, CATEGORY, DIVISION, BRANCH).select("team_id", "team_code")
+
+
+@query("matches_in_scope", f"SELECT match_id, home_team_id, away_team_id FROM {SCOPED_MATCHES}")
+def matches_in_scope(s):
+    return scope.matches_in_scope(s.matches, _scoped(s)).select("match_id", "home_team_id", "away_team_id")
+
+
+@query("top_division_teams", "SELECT team_id, branch, division FROM s_top_teams")
+def top_division_teams(s):
+    return scope.top_division_teams(s.teams).select("team_id", "branch", "division")
+
+
+@query(
+    "top_division_fallback",
+    """SELECT team_id, branch, division FROM s_cards WHERE category = 'Mayores' AND branch = 'M' AND division LIKE 'LHC %'
+    UNION ALL SELECT team_id, 'F', 'Liga de Honor B' FROM s_cards WHERE category = 'Juveniles'""",
+)
+def top_division_fallback(s):
+    """Without any top-division women's team, the women's other honour divisions stand in."""
+    men = s.teams.where("not (branch = 'F' and category = 'Mayores')")
+    youths = men.withColumns(
+        {
+            "branch": F.expr("if(category = 'Juveniles', 'F', branch)"),
+            "division": F.expr("if(category = 'Juveniles', 'Liga de Honor B', division)"),
+        }
+    ).withColumn("category", F.expr("if(category = 'Juveniles', 'MAYORES', category)"))
+    return scope.top_division_teams(youths).select("team_id", "branch", "division")
+
+
+@query(
+    "top_division_matches",
+    f"SELECT match_id, status FROM {TOP_MATCHES}",
+)
+def top_division_matches(s):
+    return scope.matches_in_scope(s.matches, scope.top_division_teams(s.teams)).select("match_id", "status")
+
+
+@query("active_teams", "SELECT team_id FROM s_cards WHERE active")
+def active_teams(s):
+    return scope.active_teams(s.teams).select("team_id")
+
+
+@query(
+    "club_search",
+    f"SELECT team_id, name, points, gd, gf FROM s_results WHERE contains({norm('name')}, 'atletico 1')",
+)
+def club_search(s):
+    return directory.search_clubs(s.results, "Atlético 1").select("team_id", "name", "points", "gd", "gf")
+
+
+@query(
+    "match_list",
+    """SELECT match_id, match_date, match_time, home_name, away_name FROM s_matches
+    WHERE status = 'Programado' AND (home_club_id % 5 = 1 AND home_club_id = 1 OR away_club_id = 1)""",
+)
+def match_list(s):
+    found = calendar.match_list(s.matches, "Programado", club_id=1, newest_first=False)
+    return found.select("match_id", "match_date", "match_time", "home_name", "away_name")
+
+
+@query(
+    "report_matches_csv",
+    """SELECT match_date "Fecha", match_time "Hora", round_label "Jornada", home_name "Local", away_name "Visitante", status "Estado",
+    home_score "Goles local", away_score "Goles visitante" FROM s_matches""",
+)
+def report_matches(s):
+    return matches_report(s.matches)
+
+
+@query(
+    "last_results",
+    f"""SELECT match_id, match_date, home_score, away_score, row_number() OVER (ORDER BY match_date || match_time DESC, match_id DESC) pos
+    FROM {TOP_MATCHES} WHERE status = 'Finalizado' QUALIFY pos <= 3""",
+)
+def last_results(s):
+    matches = scope.matches_in_scope(s.matches, scope.top_division_teams(s.teams))
+    return calendar.last_results(matches).select("match_id", "match_date", "home_score", "away_score", "pos")
+
+
+@query(
+    "upcoming",
+    f"""SELECT match_id, match_date, match_time, row_number() OVER (ORDER BY match_date || match_time, match_id) pos
+    FROM {TOP_MATCHES} WHERE status <> 'Finalizado' AND match_date >= '{TODAY}' QUALIFY pos <= 4""",
+)
+def upcoming(s):
+    matches = scope.matches_in_scope(s.matches, scope.top_division_teams(s.teams))
+    return calendar.upcoming(matches, TODAY).select("match_id", "match_date", "match_time", "pos")
+
+
+_EACH_SIDE = "(SELECT *, home_team_id team_id FROM s_matches UNION ALL SELECT *, away_team_id FROM s_matches)"
+
+
+@query(
+    "next_match",
+    f"""SELECT team_id, match_id, match_date FROM {_EACH_SIDE} WHERE status <> 'Finalizado' AND match_date >= '{TODAY}'
+    QUALIFY row_number() OVER (PARTITION BY team_id ORDER BY match_date || match_time, match_id) = 1""",
+)
+def next_match(s):
+    return calendar.next_match(s.matches, TODAY).select("team_id", "match_id", "match_date")
+
+
+@query(
+    "club_coverage",
+    f"""SELECT team_id, coalesce(matches, 0) matches, coalesce(with_fixture, 0) with_fixture, coalesce(with_sheet, 0) with_sheet,
+    coalesce(players, 0) players FROM s_cards LEFT JOIN (SELECT team_id, count(*) matches, count({safe_url('fixture_url')}) with_fixture,
+    count({safe_url('sheet_url')}) with_sheet FROM {_EACH_SIDE} GROUP BY 1) USING (team_id)
+    LEFT JOIN (SELECT team_id, count(*) players FROM s_rosters GROUP BY 1) USING (team_id)""",
+)
+def club_coverage(s):
+    return calendar.club_coverage(s.matches, s.rosters, s.teams)
+
+
+@query(
+    "entity_lookup",
+    f"SELECT match_id, home_name, away_name FROM {SCOPED_MATCHES} WHERE match_id IN (1, 2, 3, 10, 20, 40, 80, 160)",
+)
+def entity_lookup(s):
+    matches = scope.matches_in_scope(s.matches, _scoped(s))
+    found = directory.entity_lookup(matches, "match_id", [1, 2, 3, 10, 20, 40, 80, 160])
+    return found.select("match_id", "home_name", "away_name")
+
+
+_SUMMARY = f"""count(*) matches, count(*) FILTER (status = 'Finalizado') finished,
+    coalesce(sum(coalesce(home_score, 0) + coalesce(away_score, 0)) FILTER (status = 'Finalizado'), 0)::BIGINT goals"""
+
+
+@query(
+    "scope_summary",
+    f"""SELECT *, {ratio('goals', 'finished')} avg_goals FROM (SELECT (SELECT count(*) FROM s_cards WHERE {IN_SCOPE}) clubs,
+    (SELECT count(*) FROM s_rosters WHERE team_id IN {SCOPED_IDS}) players, {_SUMMARY} FROM {SCOPED_MATCHES})""",
+)
+def scope_summary(s):
+    return directory.scope_summary(_scoped(s), s.rosters, s.matches)
+
+
+_GLOBAL = f"""SELECT *, {ratio('goals', 'finished')} avg_goals FROM (SELECT (SELECT count(*) FROM r_clubes) clubs,
+    (SELECT count(*) FROM r_jugadores) players, {_SUMMARY} FROM s_matches)"""
+
+
+@query("global_summary", _GLOBAL)
+def global_summary(s):
+    return directory.global_summary(s.clubes, s.jugadores, s.partidos)
+
+
+@query("dashboard_health", f"SELECT matches, finished, greatest(0, matches - finished) scheduled FROM ({_GLOBAL})")
+def dashboard_health(s):
+    return directory.dashboard_health(directory.global_summary(s.clubes, s.jugadores, s.partidos))
+
+
+_PER_COMPETITION = f"""SELECT branch, category, division, teams, coalesce(matches, 0) matches, coalesce(finished, 0) finished,
+    1::BIGINT competitions, {rank_of('category')} AS rank FROM (SELECT branch, category, division, scope, count(*) teams FROM s_cards WHERE active GROUP BY ALL)
+    LEFT JOIN (SELECT home_scope scope, count(*) matches, count(*) FILTER (status = 'Finalizado') finished FROM s_matches
+      WHERE home_scope = away_scope AND home_team_id IN (SELECT team_id FROM s_cards WHERE active)
+      AND away_team_id IN (SELECT team_id FROM s_cards WHERE active) GROUP BY 1) USING (scope)"""
+
+
+@query(
+    "competition_directory",
+    f"""WITH per AS ({_PER_COMPETITION}) SELECT * FROM per UNION ALL SELECT NULL, NULL, NULL, sum(teams)::BIGINT, sum(matches)::BIGINT,
+    sum(finished)::BIGINT, count(*), NULL FROM per""",
+)
+def competition_directory(s):
+    return directory.competition_directory(s.teams, s.matches).orderBy(*directory.directory_order())
+
+
+@query(
+    "competition_bar",
+    f"""SELECT (SELECT count(*) FROM s_cards WHERE {IN_SCOPE}) teams, count(*) matches, count(*) FILTER (status = 'Finalizado') finished
+    FROM {SCOPED_MATCHES}""",
+)
+def competition_bar(s):
+    return directory.competition_bar(_scoped(s), s.matches)
+
+
+@query(
+    "competition_options",
+    f"""SELECT 'rama' AS level, branch AS value, 0::BIGINT AS rank, branch = 'F' selected FROM s_cards GROUP BY branch UNION ALL
+    SELECT 'categoria', category, {rank_of('category')}, category = 'Mayores' FROM s_cards WHERE branch = 'F' GROUP BY category UNION ALL
+    SELECT 'division', division, 0, division = 'LHD Hipotecario Seguros' FROM s_cards WHERE branch = 'F' AND category = 'Mayores' GROUP BY division""",
+)
+def competition_options(s):
+    """The requested branch exists, the category falls back to the default, the division to the first in order."""
+    requested = {"rama": "F", "categoria": "Veteranos", "division": None}
+    defaults = {"rama": BRANCH, "categoria": CATEGORY, "division": DIVISION}
+    return scope.competition_options(s.teams, requested, defaults)[0]
+
+
+@query(
+    "bar_share",
+    "SELECT team_id, gf, (200 * gf + best) // (2 * best) bar FROM s_results, (SELECT greatest(1, max(gf)) best FROM s_results)",
+)
+def bar_share(s):
+    return directory.bar_share(s.results).select("team_id", "gf", "bar")
+
+
+@query(
+    "team_switcher_order",
+    f"""SELECT club_id, team_id, team_code, row_number() OVER (PARTITION BY club_id ORDER BY branch, {rank_of('category')}, {norm('division')},
+    team_code, team_id) pos FROM s_cards WHERE active""",
+)
+def team_switcher_order(s):
+    return directory.team_switcher(s.teams).select("club_id", "team_id", "team_code", "pos")
+
+
+_TERMS = ("atlético 12 norte", "perez 77", "union", "Norte · Juniors", "sin resultado posible")
+_TERM_LIST = "[" + ", ".join(f"'{t}'" for t in ("atletico 12 norte", "perez 77", "union", "norte · juniors", "sin resultado posible")) + "]"
+
+
+@query(
+    "top_k_search",
+    f"""SELECT term, type, id, team_id, name, context, rank::BIGINT AS rank, pos FROM (SELECT *, row_number() OVER (PARTITION BY term
+    ORDER BY rank, {norm('name')}, type, id, team_id NULLS FIRST) pos FROM (
+      SELECT *, CASE WHEN normalized = term THEN 0 WHEN starts_with(normalized, term) THEN 1 ELSE 2 END AS rank
+      FROM s_index, (SELECT unnest({_TERM_LIST}) AS term) WHERE contains(normalized, term))) WHERE pos <= 12""",
+)
+def top_k_search(s):
+    index = directory.search_index(s.clubs, s.players, s.rosters, s.cards)
+    found = directory.top_k_search(index, _TERMS)
+    return found.select("term", "type", "id", "team_id", "name", "context", "rank", "pos")
+
+
+# Requests derived from the events: a player, sometimes a team, the top division being what is on screen.
+_PLAYER_REQUESTS = """(SELECT event_id request_id, nullif(user_id % (SELECT max(p_partkey) + 1 FROM part), 0) player_id,
+    CASE WHEN event_id % 3 = 0 THEN event_id % 150 END requested_team_id FROM events)"""
+_MEMBERSHIPS = """(SELECT player_id, count(*) total, count(*) FILTER (v) shown, min(team_id) only_team, min(team_id) FILTER (v) only_shown
+    FROM (SELECT DISTINCT player_id, team_id, team_id IN (SELECT team_id FROM s_top_teams) v FROM s_rosters WHERE player_id > 0 AND team_id > 0) GROUP BY 1)"""
+_DECIDED = f"""(SELECT request_id, q.player_id, requested_team_id, shown, CASE WHEN q.player_id IS NULL THEN 'missing'
+    WHEN nullif(requested_team_id, 0) IS NOT NULL THEN CASE WHEN EXISTS (SELECT 1 FROM s_rosters r WHERE r.player_id = q.player_id
+      AND r.team_id = requested_team_id) THEN 'team' ELSE 'invalid-team' END
+    WHEN shown = 1 THEN 'current' WHEN shown > 1 THEN 'ambiguous' WHEN total = 1 THEN 'team' WHEN total > 1 THEN 'ambiguous' ELSE 'missing' END status,
+    only_team, only_shown FROM {_PLAYER_REQUESTS} q LEFT JOIN {_MEMBERSHIPS} m ON m.player_id = q.player_id)"""
+
+
+def _player_requests(s):
+    requests = s.table("events").selectExpr(
+        "event_id AS request_id", f"user_id % {s.player_count} AS player_id",
+        "if(event_id % 3 = 0, event_id % 150, NULL) AS requested_team_id",
+    )
+    visible = s.rosters.join(scope.top_division_teams(s.teams).select("team_id"), "team_id", "left_semi")
+    return directory.resolve_player_context(requests, s.rosters, visible)
+
+
+@query(
+    "resolve_player_context",
+    f"""SELECT request_id, player_id, status, CASE status WHEN 'current' THEN only_shown WHEN 'team' THEN
+    coalesce(nullif(requested_team_id, 0), only_team) END team_id FROM {_DECIDED}""",
+)
+def resolve_player_context(s):
+    return _player_requests(s)[0]
+
+
+@query(
+    "resolve_player_choices",
+    f"""SELECT DISTINCT request_id, d.player_id, r.team_id FROM {_DECIDED} d JOIN s_rosters r ON r.player_id = d.player_id AND r.team_id > 0
+    WHERE status = 'ambiguous' AND (shown = 0 OR r.team_id IN (SELECT team_id FROM s_top_teams))""",
+)
+def resolve_player_choices(s):
+    return _player_requests(s)[1]
+
+
+_CONTEXTS = """(SELECT club_id entity_id, team_id, category || '|' || division || '|' || branch context_key FROM s_cards WHERE team_id > 0)"""
+_CLUB_REQUESTS = """(SELECT event_id request_id, nullif(user_id % 400, 0) entity_id, CASE WHEN event_id % 4 = 1 THEN nullif(user_id % 400 * 4 + event_id % 6, 0) END
+    requested_team_id, event_id % 5 = 0 current_present FROM events)"""
+_CLUB_DECIDED = f"""(SELECT q.*, m.contexts, m.first_team, m.first_key, o.context_key own, CASE WHEN q.entity_id IS NULL THEN 'invalid'
+    WHEN m.contexts IS NULL THEN 'missing' WHEN requested_team_id IS NOT NULL THEN CASE WHEN o.team_id IS NULL THEN 'invalid-team' ELSE 'team' END
+    WHEN current_present THEN 'current' WHEN m.contexts = 1 THEN 'team' ELSE 'ambiguous' END status FROM {_CLUB_REQUESTS} q
+    LEFT JOIN (SELECT entity_id, count(DISTINCT context_key) contexts, min(team_id) first_team, arg_min(context_key, team_id) first_key
+      FROM {_CONTEXTS} GROUP BY 1) m ON m.entity_id = q.entity_id
+    LEFT JOIN {_CONTEXTS} o ON o.entity_id = q.entity_id AND o.team_id = requested_team_id)"""
+
+
+def _club_requests(s):
+    requests = s.table("events").selectExpr(
+        "event_id AS request_id", "user_id % 400 AS entity_id",
+        "if(event_id % 4 = 1, user_id % 400 * 4 + event_id % 6, NULL) AS requested_team_id",
+        "event_id % 5 = 0 AS current_present",
+    )
+    memberships = s.teams.select(
+        F.col("club_id").alias("entity_id"), "team_id", directory.context_key().alias("context_key"),
+        F.col("team_id").alias("seq"),
+    )
+    return directory.resolve_scoped_context(requests, memberships)
+
+
+@query(
+    "resolve_scoped_context",
+    f"""SELECT request_id, entity_id, status, CASE WHEN status = 'invalid-team' THEN requested_team_id WHEN status = 'team' THEN
+    coalesce(requested_team_id, first_team) END team_id, CASE WHEN status = 'team' THEN
+    CASE WHEN requested_team_id IS NULL THEN first_key ELSE own END END context_key FROM {_CLUB_DECIDED}""",
+)
+def resolve_scoped_context(s):
+    return _club_requests(s)[0]
+
+
+@query(
+    "resolve_scoped_choices",
+    f"""SELECT request_id, d.entity_id, min(c.team_id) team_id, context_key FROM {_CLUB_DECIDED} d JOIN {_CONTEXTS} c ON c.entity_id = d.entity_id
+    WHERE status = 'ambiguous' GROUP BY request_id, d.entity_id, context_key""",
+)
+def resolve_scoped_choices(s):
+    return _club_requests(s)[1]

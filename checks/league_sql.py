@@ -245,4 +245,7 @@ def with_league(body: str) -> str:
 
     visit(body)
     parts = ",\n".join(f"{name} AS ({sql})" for name, sql in CTES.items() if name in needed)
-    return f"WITH {parts}\n{body}" if parts else body
+    if not parts:
+        return body
+    own = body.lstrip()
+    return f"WITH {parts},\n{own[5:]}" if own.startswith("WITH ") else f"WITH {parts}\n{body}"

@@ -41,18 +41,18 @@ SEASON_ROWS = (
 GOALS = "(cast(l_quantity as int) % 10)"
 
 
-def _pick(values: tuple[str, ...], number: str) -> str:
+def pick(values: tuple[str, ...], number: str) -> str:
     listed = ", ".join(f"'{v}'" for v in values)
     return f"element_at(array({listed}), cast(({number}) % {len(values)} as int) + 1)"
 
 
 def _time(number: str) -> str:
-    return f"nullif({_pick(TIMES, number)}, '')"
+    return f"nullif({pick(TIMES, number)}, '')"
 
 
 def _club_name(club: str) -> str:
     """Every 50th club repeats its neighbour's name in other letters and spacing."""
-    word, again = _pick(CLUB_WORDS, club), _pick(CLUB_WORDS, f"{club} - 1")
+    word, again = pick(CLUB_WORDS, club), pick(CLUB_WORDS, f"{club} - 1")
     return (
         f"CASE WHEN ({club}) % 50 = 0 AND ({club}) > 0 THEN concat(upper({again}), '  ', ({club}) - 1, '  NORTE') "
         f"ELSE concat({word}, ' ', {club}, ' Norte') END"
@@ -91,10 +91,10 @@ class StarLeague:
             "c_custkey AS id",
             "c_custkey div 4 AS club_id",
             f"{SEASON_ID}L AS temporada_id",
-            f"{_pick(CATEGORIES, 'c_custkey')} AS categoria",
-            f"{_pick(DIVISIONS, 'c_custkey')} AS division",
+            f"{pick(CATEGORIES, 'c_custkey')} AS categoria",
+            f"{pick(DIVISIONS, 'c_custkey')} AS division",
             "if(c_custkey % 2 = 0, 'M', 'F') AS rama",
-            f"{_pick(CODES, 'c_custkey')} AS equipo_codigo",
+            f"{pick(CODES, 'c_custkey')} AS equipo_codigo",
             "concat('Fed ', c_custkey) AS nombre_federacion",
             "c_custkey % 23 <> 0 AS activo",
         )
@@ -108,7 +108,7 @@ class StarLeague:
             f"{_club_name('id')} AS nombre",
             "if(id % 3 <> 0, concat('C', id), NULL) AS abreviatura",
             "if(id % 7 <> 0, concat('Ciudad ', id % 13), NULL) AS ciudad",
-            f"nullif({_pick(LOGOS, 'id')}, '') AS logo_url",
+            f"nullif({pick(LOGOS, 'id')}, '') AS logo_url",
             "id % 37 <> 0 AS activo",
         )
 
@@ -118,7 +118,7 @@ class StarLeague:
         aliases = self.clubes.selectExpr(
             "id AS club_id",
             "inline(array(struct(id * 2 AS id, 'Alias Norte ' AS word, id % 6 <> 0 AS given), "
-            "struct(id * 2 + 1, 'CN ', id % 10 = 3)))",
+            "struct(id * 2 + 1 AS id, 'CN ' AS word, id % 10 = 3 AS given)))",
         )
         return aliases.where("given").selectExpr(
             "id", "club_id", "concat(word, club_id) AS alias", "lower(concat(word, club_id)) AS alias_normalizado",
@@ -129,10 +129,10 @@ class StarLeague:
     def jugadores(self) -> DataFrame:
         return self.table("part").selectExpr(
             "p_partkey AS id",
-            f"{_pick(FIRST_NAMES, 'p_partkey')} AS nombre",
+            f"{pick(FIRST_NAMES, 'p_partkey')} AS nombre",
             "concat('Pérez ', p_partkey) AS apellido",
             "date_add(date'1965-01-01', cast((p_partkey * 37) % 14000 as int)) AS fecha_nacimiento",
-            f"if(p_partkey % 5 <> 0, {_pick(('Derecho', 'Izquierdo'), 'p_partkey')}, NULL) AS brazo_habil",
+            f"if(p_partkey % 5 <> 0, {pick(('Derecho', 'Izquierdo'), 'p_partkey')}, NULL) AS brazo_habil",
             "if(p_partkey % 4 <> 0, double(p_size + 150), NULL) AS altura_cm",
             "if(p_partkey % 6 <> 0, double(p_size + 50), NULL) AS peso_kg",
         )
@@ -170,7 +170,7 @@ class StarLeague:
             "concat('https://liga.example/f/', match_key) AS programacion_url",
             "concat('https://liga.example/f/', match_key, '.pdf') AS programacion_pdf_url",
             "if(match_key % 6 = 0, 'reprogramacion', 'fecha_normal') AS tipo_fuente",
-            f"nullif({_pick(SHEET_LINKS, 'match_key')}, '') AS planilla_url",
+            f"nullif({pick(SHEET_LINKS, 'match_key')}, '') AS planilla_url",
             "if(match_key % 3 = 0, concat('https://video.example/', match_key), NULL) AS video_url",
             "timestamp'1999-01-01 00:00:00' AS updated_at",
         )
@@ -243,13 +243,13 @@ class StarLeague:
             "l_orderkey * 8 + l_linenumber AS seq",
             "date_format(date_trunc('quarter', l_shipdate), 'yyyy-MM-dd') AS fecha",
             "CASE l_linenumber % 3 WHEN 1 THEN '18:00' WHEN 2 THEN '20:30:00' END AS hora",
-            f"{_pick(CATEGORIES, 'home')} AS categoria",
-            f"if(l_orderkey % 409 = 0, '', {_pick(DIVISIONS, 'home')}) AS division",
+            f"{pick(CATEGORIES, 'home')} AS categoria",
+            f"if(l_orderkey % 409 = 0, '', {pick(DIVISIONS, 'home')}) AS division",
             "if(home % 2 = 0, 'M', 'f') AS rama",
             "concat('Club ', home div 4) AS local",
             "concat('CLUB  ', away div 4) AS visitante",
-            f"{_pick(CODES, 'home')} AS local_equipo_codigo",
-            f"lower({_pick(CODES, 'away')}) AS visitante_equipo_codigo",
+            f"{pick(CODES, 'home')} AS local_equipo_codigo",
+            f"lower({pick(CODES, 'away')}) AS visitante_equipo_codigo",
             "CASE WHEN l_orderkey % 419 = 0 THEN 'otro' WHEN l_returnflag = 'R' THEN 'reprogramacion' "
             "ELSE 'fecha_normal' END AS tipo_fuente",
             "if(l_orderkey % 2 = 0 AND l_orderkey % 401 <> 0, home, NULL) AS local_equipo_id",
@@ -265,7 +265,7 @@ class StarLeague:
             f"'{SEASON_ID}' AS temporada_id",
             f"if(match_key % 71 = 0, '9', '{COMPETITION_ID}') AS competencia_id",
             "cast(odate as string) AS fecha",
-            f"if(match_key % 83 = 0, '25:00', {_pick(TIMES, 'match_key + 1')}) AS hora",
+            f"if(match_key % 83 = 0, '25:00', {pick(TIMES, 'match_key + 1')}) AS hora",
             "cast(match_key % 30 + 1 as string) AS jornada",
             "cast(if(match_key % 61 = 0, away, home) as string) AS local_equipo_id",
             "cast(away as string) AS visitante_equipo_id",
@@ -291,7 +291,7 @@ class StarLeague:
         size = "cast(match_key % 4 as int) + 2"
 
         def name(side: str) -> str:
-            code = _pick(CODES, side)
+            code = pick(CODES, side)
             suffix = f"if({code} = 'A', '', concat(' · Equipo ', {code}))"
             return f"concat({_club_name(f'{side} div 4')}, {suffix})"
 
@@ -301,7 +301,7 @@ class StarLeague:
         def lines(offset: int) -> str:
             player = f"((match_key * 13 + k * 29 + {offset}) % {self.player_count})"
             line = (
-                f"concat_ws(' ', k, concat('Pérez ', {player}, ','), {_pick(FIRST_NAMES, player)}, "
+                f"concat_ws(' ', k, concat('Pérez ', {player}, ','), {pick(FIRST_NAMES, player)}, "
                 f"if({goals(offset)} = 0, '-', cast({goals(offset)} as string)), if((match_key + k) % 5 = 0, '1', '-'), "
                 "k % 3, '-', '-')"
             )
@@ -322,7 +322,7 @@ class StarLeague:
             "*", f"{name('home')} AS home_name", f"{name('away')} AS away_name",
             f"{total(0)} + if(match_key % 17 = 0, 1, 0) AS home_goals", f"{total(7)} AS away_goals",
         )
-        scope = f"concat({_pick(CATEGORIES, 'home')}, ' - ', {_pick(DIVISIONS, 'home')})"
+        scope = f"concat({pick(CATEGORIES, 'home')}, ' - ', {pick(DIVISIONS, 'home')})"
         parts = (
             "'Torneo Metropolitano\\r'", "'Fecha:'", "cast(odate as string)", "'Hora:'",
             f"coalesce({_time('match_key')}, '12:00:00')", "'Categoria - Division:'", scope, "'Equipo local'",
