@@ -34,7 +34,7 @@ def _folding() -> tuple[str, str]:
 
 def strip_edges(text: Column) -> Column:
     """Trim every kind of blank, not only spaces."""
-    return F.trim(text, F.lit(BLANKS))
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def null_if_blank(text: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tanteo.functions.text import is_blank, normalize_key, strip_edges
 from tanteo.operators.quality import SOURCE_TYPES
+from tanteo.session import cut
 
 NORMAL, RESCHEDULED = SOURCE_TYPES
 
@@ -36,12 +37,13 @@ def identified(publications: DataFrame) -> DataFrame:
     by_names = F.concat_ws(
         "|", F.lit("scope"), "_branch", "_categoria", "_division", "_local", "_home_code", "_visitante", "_away_code"
     )
-    return (
-        parsed.withColumn("error", _identity_error())
-        .withColumn("scope", F.when(F.col("error").isNull(), F.when(home.isNotNull(), by_ids).otherwise(by_names)))
-        .withColumn("error", F.coalesce("error", _publication_error()))
-        .select(*publications.columns, "scope", "kind", "schedule", "error")
+    keyed = parsed.withColumn("_error", _identity_error())
+    scope = F.when(F.col("_error").isNull(), F.when(home.isNotNull(), by_ids).otherwise(by_names))
+    outcome = F.struct(
+        scope.alias("scope"), "kind", "schedule", F.coalesce("_error", _publication_error()).alias("error")
     )
+    # A generator of one row: filters on its output stay above it, so the keys are computed once per publication.
+    return keyed.select(*publications.columns, F.inline(F.array(outcome)))
 
 
 def _positive(column: str) -> Column:
@@ -133,6 +135,8 @@ def prioritize(publications: DataFrame) -> Prioritized:
         F.min(F.when(normal, F.col("first"))).alias("normal"),
         F.min(F.when(moved, F.col("first"))).alias("moved"),
     )
+    # Both outputs read the match-ups, so they are written once.
+    matchups = cut(matchups)
     ambiguity = F.when(F.col("moves") > 1, "multiples_reprogramaciones").when(
         (F.col("moves") == 0) & (F.col("normals") > 1), "mismo_cruce_repetido"
     )

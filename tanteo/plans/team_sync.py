@@ -93,8 +93,8 @@ def sync_teams(
         (F.col("club_id").isNull(), unknown),
     ]
     checked = cut(
-        asked.drop("_season")
-        .withColumn("error", F.coalesce(*[F.when(bad, message) for bad, message in rules]))
+        asked.withColumn("error", F.coalesce(*[F.when(bad, message) for bad, message in rules]))
+        .drop("_season")
         .withColumns(
             {
                 "categoria": F.trim("categoria"),
