@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tanteo.session import cut
+
 SEASON_ID = 3
 COMPETITION_ID = 3
 TODAY = "1999-06-01"
@@ -287,7 +289,7 @@ class StarLeague:
 
     @cached_property
     def planillas(self) -> DataFrame:
-        """Sheet text of every match, in three layouts; every 17th has a goal too many."""
+        """Sheet text of every match, in three layouts; every 17th has a goal too many. Stored, as sheets arrive."""
         size = "cast(match_key % 4 as int) + 2"
 
         def name(side: str) -> str:
@@ -329,7 +331,8 @@ class StarLeague:
             header("home"), "'Equipo  visitante'", header("away"), "'Nº Local G TAm 2 TR TAz'", lines(0),
             "'A Ramos, Eva - - - -'", "'Nº Visitante G TAm 2 TR TAz'", lines(7), "'Arbitros'", "'1 Juez, Uno 9 - - - -'",
         )
-        return played.selectExpr("cast(match_key as string) AS path", f"concat_ws('\\n', {', '.join(parts)}) AS text")
+        rendered = played.selectExpr("cast(match_key as string) AS path", f"concat_ws('\\n', {', '.join(parts)}) AS text")
+        return cut(rendered)
 
     @cached_property
     def respuestas(self) -> DataFrame:

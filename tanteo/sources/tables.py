@@ -45,8 +45,8 @@ def count_exact(df: DataFrame) -> DataFrame:
 
 
 def season_matches(partidos: DataFrame, season_id: int, teams: DataFrame) -> DataFrame:
-    """Raw matches of a season whose both teams belong to it."""
-    season = partidos.where(F.col("temporada_id") == season_id)
+    """Raw matches of a season whose both teams belong to it; a table without a season column is read whole."""
+    season = partidos.where(F.col("temporada_id") == season_id) if "temporada_id" in partidos.columns else partidos
     ids = teams.select(to_id(F.col("id")).alias("_team"))
     for side in ("local_equipo_id", "visitante_equipo_id"):
         team = to_id(field(season, ALIASES[side]))
