@@ -69,12 +69,12 @@ def team_form(s):
 
 @query("h2h_self_join", "SELECT match_id, home_team_id, away_team_id, home_score, away_score FROM s_h2h")
 def h2h_self_join(s):
-    return ops.head_to_head_matches(s.results, s.scoped)
+    return ops.head_to_head_matches(ops.result_table(s.cards, s.played), s.played)
 
 
 @query("h2h_mini_table", "SELECT * FROM s_mini")
 def h2h_mini_table(s):
-    return ops.mini_table(s.results, s.scoped)
+    return ops.mini_table(ops.result_table(s.cards, s.played), s.played)
 
 
 _STANDING = ("team_id", *ops.SCOPE, "name", "played", "gf", "ga", "gd", "points", "mini_points", "pos")
@@ -109,7 +109,7 @@ def top_division_standings(s):
 
 def _top_standings(s):
     cards = top_division_teams(s.cards)
-    matches = matches_in_scope(s.scoped, cards)
+    matches = matches_in_scope(s.played, cards)
     return ops.standings(ops.result_table(cards, matches), matches, by=("branch",))
 
 

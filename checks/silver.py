@@ -11,6 +11,7 @@ from pyspark.sql.types import ArrayType, DateType, IntegerType, ShortType
 from tanteo.operators import players as player_ops
 from tanteo.operators import silver, standings
 from tanteo.operators.scope import within_one_scope
+from tanteo.session import cut
 from tanteo.sources.star_league import SEASON_ID, StarLeague
 
 
@@ -65,9 +66,15 @@ class Silver(StarLeague):
     def team_rows(self) -> DataFrame:
         return standings.team_table(self.cards, self.scoped, self.rosters, self.stats)
 
+    @cached_property
+    def played(self) -> DataFrame:
+        """Finished matches as stored: the table and the mini-tables both read them."""
+        columns = ("match_id", "home_team_id", "away_team_id", "home_score", "away_score", "status")
+        return cut(standings.finished_matches(self.scoped).select(*columns))
+
     @cached_property
     def standings(self) -> DataFrame:
-        return standings.standings(self.results, self.scoped)
+        return standings.standings(standings.result_table(self.cards, self.played), self.played)
 
 
 def load(spark: SparkSession, folder: str) -> Silver:
