@@ -1,0 +1 @@
+"""Transforms over checked league tables."""

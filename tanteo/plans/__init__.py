@@ -1,0 +1 @@
+"""Jobs made of several transforms: imports, sheets, reports."""

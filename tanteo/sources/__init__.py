@@ -1,0 +1 @@
+"""Readers, writers and the league derived from the test tables."""

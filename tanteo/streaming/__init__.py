@@ -1,0 +1,5 @@
+"""Nothing here yet: league data arrives in batches, and no operator keeps state between them.
+
+``tanteo.plans.fixture_import.import_batches`` takes any number of batches at once, so a feed can call it from
+``foreachBatch`` unchanged.
+"""
