@@ -92,7 +92,8 @@ class StarLeague:
         return self.table("customer").selectExpr(
             "c_custkey AS id",
             "c_custkey div 4 AS club_id",
-            f"{SEASON_ID}L AS temporada_id",
+            # Written over the key, so that joins on the season keep a key to join by.
+            f"if(c_custkey >= 0, {SEASON_ID}L, 0L) AS temporada_id",
             f"{pick(CATEGORIES, 'c_custkey')} AS categoria",
             f"{pick(DIVISIONS, 'c_custkey')} AS division",
             "if(c_custkey % 2 = 0, 'M', 'F') AS rama",
@@ -159,7 +160,7 @@ class StarLeague:
         return self.pairings.join(scores, "match_key", "left").selectExpr(
             "match_key AS id",
             f"{COMPETITION_ID}L AS competencia_id",
-            f"{SEASON_ID}L AS temporada_id",
+            f"if(match_key >= 0, {SEASON_ID}L, 0L) AS temporada_id",
             "odate AS fecha",
             f"{_time('match_key')} AS hora",
             "if(match_key % 17 <> 0, cast(match_key % 30 + 1 as int), NULL) AS jornada",
