@@ -92,7 +92,7 @@ def normalize_rosters(raw: DataFrame, players: DataFrame, teams: DataFrame) -> D
         to_id(F.col("id")).alias("roster_id"),
         to_id(F.col("jugador_id")).alias("player_id"),
         to_id(F.col("equipo_id")).alias("team_id"),
-        F.col("dorsal").cast("int").alias("shirt"),
+        field(raw, ["dorsal"]).try_cast("int").alias("shirt"),
         F.coalesce(field(raw, ["posicion"]), F.lit(labels.NO_POSITION)).alias("position"),
     )
     return rosters.join(teams.select("team_id"), "team_id", "left_semi").join(
