@@ -63,6 +63,8 @@ def smallest(values: np.ndarray, begins: np.ndarray, window: int = WINDOW) -> np
 
 
 def _seeds(docs: DataFrame, text: str) -> DataFrame:
+    """(seed, key, at): one row for each seed of a text, with all its places; a line that fills a text is one row, not thousands."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
@@ -71,12 +73,17 @@ def _seeds(docs: DataFrame, text: str) -> DataFrame:
                 at = smallest(found, begins)
                 row = np.searchsorted(begins, at, side="right") - 1
                 at, row = at[(whole := np.diff(offsets)[row] >= K)], row[whole]
+                seed = found[at].view(np.int64)
+                order = np.lexsort((at, seed, row))
+                at, row, seed = at[order], row[order], seed[order]
+                first = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(seed) != 0))) if len(at) else at
+                places = pa.array((at - begins[row]).astype(np.int32))
                 yield pa.RecordBatch.from_pydict({
-                    "seed": pa.array(found[at].view(np.int64)), "key": part.column("key").take(pa.array(row)),
-                    "at": pa.array((at - begins[row]).astype(np.int32)),
+                    "seed": pa.array(seed[first]), "key": part.column("key").take(pa.array(row[first])),
+                    "at": pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), places),
                 })
 
-    return docs.select(F.xxhash64(text).alias("key"), F.col(text).alias("text")).mapInArrow(run, "seed bigint, key bigint, at int")
+    return docs.select(F.xxhash64(text).alias("key"), F.col(text).alias("text")).mapInArrow(run, "seed bigint, key bigint, at array<int>")
 
 
 class Fenwick:
@@ -183,8 +190,8 @@ def passages(docs: DataFrame, text: str = "text") -> DataFrame:
     """(key, head, a, b, c, d): words a to b of the text ``key`` repeat words c to d of the text ``head``."""
     given = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{text}`").alias("text"))
     seeds = _seeds(given, "text").repartition("seed")
-    heads = seeds.groupBy("seed").agg(F.min("key").alias("head"), F.max("key").alias("_last"), F.min_by("at", "key").alias("there"))
-    shared = seeds.join(heads.where("head != _last"), "seed").where("key != head").select("key", "head", "at", "there").distinct()
+    heads = seeds.groupBy("seed").agg(F.min("key").alias("head"), F.max("key").alias("_last"), F.min_by(F.col("at")[0], F.col("key")).alias("there"))
+    shared = seeds.join(heads.where("head != _last"), "seed").where("key != head").select("key", "head", "at", "there").distinct().withColumn("at", F.explode("at"))
     found = stored(shared.groupBy("key").applyInPandas(_chained, "key bigint, head bigint, a int, b int, c int, d int, score double"))
     texts = given.select(F.xxhash64("text").alias("key"), "text").dropDuplicates(["key"])
     texts = texts.select("key", F.array_remove(F.split(F.lower("text"), _BLANK), "").alias("_words"))
