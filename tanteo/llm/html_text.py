@@ -151,8 +151,10 @@ class _Reader(HTMLParser):
 
 def read(html: str | None) -> tuple[list[str], list[list[int]]]:
     reader = _Reader()
-    # a doctype or a comment that never ends hides the rest of the page, as in a browser
-    reader.feed(html or "")
+    html = html or ""
+    # a comment that never ends hides the rest of the page
+    last = html.rfind("<!--")
+    reader.feed(html[:last] if last >= 0 and html.find("-->", last) < 0 else html)
     return reader.finish()
 
 

@@ -18,6 +18,7 @@ Texts are keyed by a 64-bit hash. Null texts count as empty and have no words; r
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ K, WINDOW = 8, 16
 #: Cost of a skipped word, on either side.
 GAP = 0.1
 #: Words by which the slices to align go beyond a chain.
-REACH = 24
+REACH = 48
 MIN_WORDS, MIN_SHARE = 40, 0.8
 STEP = 8
 RESULT = ("spans", "n_words", "n_repeat_words", "n_first_words", "copy_of")
@@ -112,23 +113,24 @@ def chains(here: np.ndarray, there: np.ndarray, k: int = K, gap: float = GAP) ->
     """Best chains of seeds at (here, there): (start, end, start there, end there, score), every seed in one chain at most."""
     order = np.lexsort((there, here))
     here, there = here[order].tolist(), there[order].tolist()
-    places = {v: i for i, v in enumerate(sorted(set(there)))}
-    tree, score, back = Fenwick(len(places)), [0.0] * len(here), [-1] * len(here)
-    i = 0
-    while i < len(here):
-        j = i
-        while j < len(here) and here[j] == here[i]:
-            value, before = tree.before(places[there[j]])
-            gain = float(k)
-            if before >= 0:
-                # overlapping seeds earn their new words only
-                gain = min(k, here[j] - here[before], there[j] - there[before])
-            linked = value - gap * (here[j] + there[j]) + gain + 2 * gap * min(gain, k) if before >= 0 else -np.inf
-            score[j], back[j] = (linked, before) if linked > k else (float(k), -1)
-            j += 1
-        for n in range(i, j):
-            tree.raise_to(places[there[n]], (score[n] + gap * (here[n] + there[n]), n))
-        i = j
+    ends = sorted({v + k for v in there})
+    tree, score, back = Fenwick(len(ends)), [float(k)] * len(here), [-1] * len(here)
+    diagonal: dict[int, int] = {}
+    passed = 0
+    for n, (at, to) in enumerate(zip(here, there, strict=True)):
+        # seeds that end before this one on this side; the tree orders them by their end on the other
+        while here[passed] + k <= at:
+            tree.raise_to(bisect_left(ends, there[passed] + k), (score[passed] + gap * (here[passed] + there[passed] + 2 * k), passed))
+            passed += 1
+        value, before = tree.before(bisect_right(ends, to))
+        linked = value - gap * (at + to) + k
+        # one that overlaps this seed earns its new words if it is shifted alike on both sides
+        last = diagonal.get(at - to)
+        if last is not None and at - here[last] < k and score[last] + at - here[last] >= linked:
+            linked, before = score[last] + at - here[last], last
+        if before >= 0 and linked > k:
+            score[n], back[n] = linked, before
+        diagonal[at - to] = n
     used, out = set(), []
     for end in sorted(range(len(here)), key=lambda n: -score[n]):
         if end in used:
@@ -163,12 +165,22 @@ def common_words(one: list[str], two: list[str]) -> int:
     return len(one) - row.bit_count()
 
 
+def grown(one: list[str], two: list[str]) -> int:
+    """By how many words a passage goes on, over single changed words if the four words behind them agree."""
+    n = good = 0
+    while n < min(len(one), len(two)):
+        if one[n] == two[n]:
+            good = n + 1
+        elif len(behind := one[n + 1 : n + 5]) < 4 or behind != two[n + 1 : n + 5]:
+            break
+        n += 1
+    return good
+
+
 def aligned(mine: list[str], theirs: list[str], a: int, b: int, c: int, d: int) -> tuple[int, int, int, int] | None:
-    """The chain mine[a:b], theirs[c:d] extended over equal words, if it is a repeated passage."""
-    while a and c and mine[a - 1] == theirs[c - 1]:
-        a, c = a - 1, c - 1
-    while b < len(mine) and d < len(theirs) and mine[b] == theirs[d]:
-        b, d = b + 1, d + 1
+    """The chain mine[a:b], theirs[c:d] extended at both ends, if it is a repeated passage."""
+    before, behind = grown(mine[:a][::-1], theirs[:c][::-1]), grown(mine[b:], theirs[d:])
+    a, b, c, d = a - before, b + behind, c - before, d + behind
     if b - a < MIN_WORDS or 2 * common_words(mine[a:b], theirs[c:d]) < MIN_SHARE * (b - a + d - c):
         return None
     return a, b, c, d
