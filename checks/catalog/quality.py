@@ -63,13 +63,7 @@ def duplicate_matches(s):
 @query("broken_refs", "SELECT id FROM r_facts WHERE home_id IS NULL OR away_id IS NULL")
 def broken_refs(s):
     """Matches without one of their teams, by anti joins on each side."""
-    matches = s.partidos_defectuosos
-    lost = [
-        matches.join(s.equipos.select(F.col("id").alias(side)), side, "left_anti").select("id", F.lit(side).alias("side"))
-        for side in ("local_equipo_id", "visitante_equipo_id")
-    ]
-    # The defects break the away side only, so no match is counted twice.
-    return lost[0].unionByName(lost[1]).select("id")
+    return ops.broken_refs(s.partidos_defectuosos, s.equipos)
 
 
 @query("null_safe_neq", "SELECT id FROM r_facts WHERE home_id IS NOT NULL AND away_id IS NOT NULL AND other_season")

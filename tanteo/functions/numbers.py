@@ -10,8 +10,10 @@ WIN_POINTS, DRAW_POINTS, LOSS_POINTS = 3, 2, 1
 
 
 def to_id(value: Column) -> Column:
-    """Numeric id, null when the text is not a whole number."""
-    return F.trim(value.cast("string")).try_cast("bigint")
+    """Numeric id, null when the value is not a whole number; ``101.0`` is one, as text or as a double."""
+    text = F.trim(value.cast("string"))
+    number = text.try_cast("double")
+    return F.coalesce(text.try_cast("bigint"), F.when((F.abs(number) < 2.0**53) & (number % 1 == 0), number.cast("bigint")))
 
 
 def to_number(value: Column, fallback: float = 0.0) -> Column:
@@ -22,7 +24,7 @@ def to_number(value: Column, fallback: float = 0.0) -> Column:
 
 
 def to_int(value: Column) -> Column:
-    return value.cast("string").try_cast("int")
+    return to_id(value).try_cast("int")
 
 
 def ratio_1dp(numerator: Column, denominator: Column) -> Column:

@@ -5,32 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tanteo.functions.text import strip_edges
+
 # Messages that reveal a protected or missing resource.
 AUTH_MESSAGES = (
     "unauthori|forbidden|missing authorization|missing token|authentication required|access token|invalid token|jwt"
 )
 MISSING_MESSAGES = "cannot get|not found"
-SAMPLE_CHARS = 2000
 
 
 def safe_url(link: Column) -> Column:
-    """The link when it is absolute http(s) with a host and no credentials, else null."""
-    well_formed = (
-        link.rlike(r"(?i)^https?://[^\s/?#]")
-        & F.try_parse_url(link, F.lit("HOST")).isNotNull()
-        & F.try_parse_url(link, F.lit("USERINFO")).isNull()
-    )
-    return F.when(well_formed, link)
+    """The link without outer blanks and with inner ones escaped, when it is absolute http(s) with a host and no credentials, else null."""
+    bare = strip_edges(link)
+    return F.when(bare.rlike(r"(?i)^https?://[^\s/?#@\\:]+(:\d*)?([/?#]|$)"), F.replace(bare, F.lit(" "), F.lit("%20")))
 
 
 def response_state(status: Column, body: Column) -> Column:
     """Public, protected, missing or failed, from the status code and the body of a response."""
     text = F.trim(F.coalesce(body, F.lit("")))
-    sample = F.lower(F.substring(text, 1, SAMPLE_CHARS))
+    said = F.lower(text)
     success = status.between(200, 299)
     return (
-        F.when(status.isin(401, 403) | sample.rlike(AUTH_MESSAGES), "auth_required")
-        .when((status == 404) | sample.rlike(MISSING_MESSAGES), "not_found")
+        F.when(status.isin(401, 403) | said.rlike(AUTH_MESSAGES), "auth_required")
+        .when((status == 404) | said.rlike(MISSING_MESSAGES), "not_found")
         .when(success & is_json(text), "public_json")
         .when(success, "public_non_json")
         .otherwise("transport_or_server_error")
@@ -38,4 +35,6 @@ def response_state(status: Column, body: Column) -> Column:
 
 
 def is_json(text: Column) -> Column:
-    return F.coalesce(F.try_parse_json(text).isNotNull() & (F.trim(text) != "null"), F.lit(False))
+    """Whether the text is JSON other than ``null``; an object may repeat a key."""
+    whole = F.trim(text).rlike(r"(?s)^(\{.*\}|\[.*\])$") & F.get_json_object(text, "$").isNotNull()
+    return F.coalesce((F.try_parse_json(text).isNotNull() | whole) & (F.trim(text) != "null"), F.lit(False))

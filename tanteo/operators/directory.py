@@ -15,7 +15,6 @@ from tanteo.operators.scope import active_teams, matches_in_scope, within_one_sc
 from tanteo.operators.silver import scope_key
 
 COMPETITION = ("branch", "category", "division")
-MAX_TERMS = 1_000
 
 
 def _counts(*frames: DataFrame) -> DataFrame:
@@ -183,10 +182,8 @@ def search_index(clubs: DataFrame, players: DataFrame, rosters: DataFrame, cards
 def top_k_search(index: DataFrame, terms: Sequence[str], k: int = 12) -> DataFrame:
     """Best ``k`` rows for each term: exact, then prefix, then contained; then by name.
 
-    The terms travel as one short literal list and each row yields only the terms it contains.
+    The terms travel as one literal list and each row yields only the terms it contains.
     """
-    if len(terms) > MAX_TERMS:
-        raise ValueError(f"at most {MAX_TERMS} terms per search")
     wanted = F.transform(F.array(*[F.lit(t) for t in dict.fromkeys(terms) if t.strip()]), normalize_text)
     found = index.withColumn(
         "term", F.explode(F.filter(wanted, lambda t: F.col("normalized").contains(t)))

@@ -22,6 +22,15 @@ def _groups(df: DataFrame, *keys: Column | str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def broken_refs(partidos: DataFrame, equipos: DataFrame) -> DataFrame:
+    """Ids of matches without one or both of their teams, each match once."""
+    lost = [
+        partidos.join(equipos.select(F.col("id").alias(side)), side, "left_anti").select("id")
+        for side in ("local_equipo_id", "visitante_equipo_id")
+    ]
+    return lost[0].unionByName(lost[1]).distinct()
+
+
 def duplicate_clubs(clubes: DataFrame) -> DataFrame:
     return _groups(clubes, normalize_key(F.col("nombre")).alias("club_key"))
 

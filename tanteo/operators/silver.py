@@ -134,8 +134,8 @@ def _typed_matches(raw: DataFrame) -> DataFrame:
 
 
 def scope_key() -> Column:
-    """One text per competition of a team."""
-    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in SCOPE])
+    """One text per competition of a team: no two of them share it, whatever their names hold, and null is not an empty name."""
+    return F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in SCOPE]))
 
 
 def match_team_club(matches: DataFrame, cards: DataFrame) -> DataFrame:

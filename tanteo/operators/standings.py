@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tanteo.functions import labels
 from tanteo.functions.numbers import goal_quotient, result_letter, result_points
-from tanteo.functions.text import spanish
+from tanteo.functions.text import spanish, strip_edges
 from tanteo.operators.ranking import ranked, top_per_group
 from tanteo.schemas import SCOPE
 from tanteo.session import cut
@@ -215,7 +215,7 @@ def validate_adjustments(
         return F.trim(F.col(column).cast("string")).try_cast("bigint")
 
     def missing(column: str) -> Column:
-        return F.coalesce(F.trim(F.col(column)), F.lit("")) == ""
+        return F.coalesce(strip_edges(F.col(column).cast("string")), F.lit("")) == ""
 
     checked = adjustments.withColumn("_team", whole("team_id"))
     if teams is not None:

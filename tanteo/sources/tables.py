@@ -35,9 +35,9 @@ def scan_jdbc(
 
 
 def scan_by_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """Rows whose key is in a one-column frame of ids."""
-    wanted = ids.select(F.col(ids.columns[0]).alias(key)).where(F.col(key).isNotNull())
-    return df.join(wanted, key, "left_semi")
+    """Rows whose key is in a one-column frame of ids. Ids are compared as numbers: a text that is none matches nothing."""
+    wanted = ids.select(to_id(F.col(ids.columns[0])).alias("_wanted")).where("_wanted is not null")
+    return df.join(wanted, to_id(F.col(key)) == F.col("_wanted"), "left_semi")
 
 
 def count_exact(df: DataFrame) -> DataFrame:
@@ -54,6 +54,14 @@ def season_matches(partidos: DataFrame, season_id: int, teams: DataFrame) -> Dat
     return season.drop("_side")
 
 
+def _lines_of(lines: DataFrame, matches: DataFrame) -> DataFrame:
+    """Raw player lines of these matches, of a team that plays there."""
+    teams = [to_id(field(matches, ALIASES[side])) for side in ("local_equipo_id", "visitante_equipo_id")]
+    sides = matches.select(to_id(F.col("id")).alias("_match"), F.explode(F.array_distinct(F.array(*teams))).alias("_team"))
+    mine = (to_id(F.col("partido_id")) == F.col("_match")) & (to_id(F.col("equipo_id")) == F.col("_team"))
+    return lines.join(sides, mine, "left_semi")
+
+
 def season_dataset(tables: Mapping[str, DataFrame], season_id: int) -> dict[str, DataFrame]:
     """Everything one season needs: teams of known clubs, then what hangs on those teams, then their players."""
     if season_id <= 0:
@@ -66,11 +74,12 @@ def season_dataset(tables: Mapping[str, DataFrame], season_id: int) -> dict[str,
     )
     team_ids = teams.select("id")
     rosters = scan_by_ids(tables["planteles"], "equipo_id", team_ids)
+    matches = season_matches(tables["partidos"], season_id, teams)
     return {
         "equipos": teams,
         "clubes": scan_by_ids(clubs, "id", teams.select("club_id")),
         "planteles": rosters,
-        "partidos": season_matches(tables["partidos"], season_id, teams),
-        "participaciones": scan_by_ids(tables["participaciones"], "equipo_id", team_ids),
+        "partidos": matches,
+        "participaciones": _lines_of(tables["participaciones"], matches),
         "jugadores": scan_by_ids(tables["jugadores"], "id", rosters.select("jugador_id")),
     }
