@@ -402,10 +402,10 @@ def valid_ref_semi(s):
     return kept.drop("team_id")
 
 
-@query("order_es", f"SELECT club_id, club_name AS name, row_number() OVER (ORDER BY {norm('club_name')}, club_id) pos FROM s_clubs WHERE club_id % 50 <> 0")
+@query("order_es", f"SELECT club_id, club_name AS name, row_number() OVER (ORDER BY {norm('club_name')}, club_id) pos FROM s_clubs")
 def order_es(s):
-    names = s.clubs.where("club_id % 50 <> 0").select("club_id", F.col("club_name").alias("name"))
-    return ranked(names, [], [text.spanish(F.col("name")), F.asc("club_id")], sizes=s.clubes)
+    names = s.clubs.select("club_id", F.col("club_name").alias("name"))
+    return ranked(names, [], [text.spanish(F.col("name")), F.asc("club_id")])
 
 
 @query(
@@ -414,7 +414,7 @@ def order_es(s):
 )
 def order_calendar(s):
     columns = ("match_id", "match_date", "match_time")
-    return ranked(s.matches.select(*columns), [], calendar.calendar_order(False), sizes=s.table("orders"))
+    return ranked(s.matches.select(*columns), [], calendar.calendar_order(False))
 
 
 @query(

@@ -153,12 +153,12 @@ def _by_team(column: str) -> str:
 
 @query("club_goals_rank", _by_team("gf"))
 def club_goals_rank(s):
-    return ranked(s.results.select("team_id", "name", "gf"), [], [F.desc("gf"), F.asc("team_id")], sizes=s.teams)
+    return ranked(s.results.select("team_id", "name", "gf"), [], [F.desc("gf"), F.asc("team_id")])
 
 
 @query("club_balance_rank", _by_team("gd"))
 def club_balance_rank(s):
-    return ranked(s.results.select("team_id", "name", "gd"), [], [F.desc("gd"), F.asc("team_id")], sizes=s.teams)
+    return ranked(s.results.select("team_id", "name", "gd"), [], [F.desc("gd"), F.asc("team_id")])
 
 
 _CHECKED = f"""(SELECT *, list_filter([

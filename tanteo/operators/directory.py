@@ -109,8 +109,7 @@ def team_switcher_order() -> list[Column]:
 
 def team_switcher(teams: DataFrame) -> DataFrame:
     """Active teams of each club in the order they are offered."""
-    offered = active_teams(teams)
-    return ranked(offered, ["club_id"], team_switcher_order(), sizes=offered.select("club_id"))
+    return ranked(active_teams(teams), ["club_id"], team_switcher_order())
 
 
 def competition_bar(teams: DataFrame, matches: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Row positions that stay distributed when one group outgrows a task."""
+"""Row positions that stay distributed whatever share of the rows one group holds."""
 
 from __future__ import annotations
 
@@ -10,44 +10,18 @@ from pyspark.sql import functions as F
 
 from tanteo.session import cut
 
-# A group up to this size is sorted by one task; beyond it the group is split into ordered slices.
-MAX_TASK_ROWS = 2_000_000
-# Rows aimed at per slice when a group is split.
-SLICE_ROWS = 500_000
 
-
-def ranked(
-    df: DataFrame,
-    by: Sequence[str],
-    order: Sequence[Column],
-    name: str = "pos",
-    sizes: DataFrame | None = None,
-    max_task_rows: int = MAX_TASK_ROWS,
-    slice_rows: int = SLICE_ROWS,
-) -> DataFrame:
+def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "pos") -> DataFrame:
     """Add the 1-based position of each row in its group; ``order`` must end in a unique key.
 
-    ``sizes`` is a cheap frame with the same groups and at least as many rows, used to measure the largest group;
-    without it ``df`` is written once and measured itself.
+    The rows are range-partitioned by group and order into the session's shuffle partitions and numbered inside each slice; a
+    slice's offset is the number of rows that its groups have in earlier slices. The slices are written once, because both the
+    offsets and the positions read them and a second range partitioning could draw other bounds.
     """
-    if sizes is None:
-        df = sizes = cut(df)
-    per_group = sizes.groupBy(*by).agg(F.count("*").alias("rows"))
-    largest, total = per_group.agg(F.max("rows"), F.sum("rows")).first()
-    if (largest or 0) <= max_task_rows:
-        keys = [F.col(c) for c in by] or [F.lit(1)]
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
-    return _sliced_rank(df, by, order, name, slices=max(2, -(-total // slice_rows)))
-
-
-def _sliced_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str, slices: int) -> DataFrame:
-    """Range-partition by group and order, then add each slice's offset to the position inside the slice."""
     keys = [F.col(c) for c in by]
-    placed = cut(
-        df.repartitionByRange(slices, *keys, *order).withColumn("_slice", F.spark_partition_id())
-    )
+    placed = cut(df.repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id()))
     per_slice = placed.groupBy(*by, "_slice").agg(F.count("*").alias("_rows"))
-    # One row per (slice, group) pair that meets: at most slices + groups rows, far below the data.
+    # One row per (slice, group) pair that meets: a group has at most as many as there are shuffle partitions.
     before = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_slice.select(
         *[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)],

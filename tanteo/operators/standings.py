@@ -168,9 +168,7 @@ def mini_table(table: DataFrame, matches: DataFrame, by: Sequence[str] = SCOPE)
     )
 
 
-def standings(
-    table: DataFrame, matches: DataFrame, by: Sequence[str] = SCOPE, max_task_rows: int | None = None
-) -> DataFrame:
+def standings(table: DataFrame, matches: DataFrame, by: Sequence[str] = SCOPE) -> DataFrame:
     """Final order: points, then the mini-table among level teams, then overall criteria.
 
     A team without head-to-head matches counts zero in the mini-table, so groups that never met fall through to the
@@ -182,8 +180,7 @@ def standings(
     full = table.join(mini, "team_id", "left").withColumns(
         {c: F.coalesce(F.col(c), F.lit(0)).cast("bigint") for c in mini_columns}
     )
-    bound = {} if max_task_rows is None else {"max_task_rows": max_task_rows}
-    return ranked(full, by, standings_order(), sizes=table, **bound)
+    return ranked(full, by, standings_order())
 
 
 def standings_order() -> list[Column]:

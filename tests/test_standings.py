@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tanteo.operators import standings
@@ -73,14 +74,21 @@ def test_random_leagues_agree_with_the_rule(frame):
 
 @pytest.mark.parametrize("by", [[], ["g"]])
 def test_sliced_positions_equal_the_window(spark, by):
-    """One group holds most rows and most of them tie on the first key."""
+    """One group holds nine tenths of the rows, most of them tie on the first key, and the slices are not merged."""
     rows = spark.range(5000).select(
-        "id", F.when(F.col("id") % 10 < 8, 0).otherwise(F.col("id") % 10).alias("g"), (F.col("id") * 7919 % 3).alias("v")
+        "id", F.when(F.col("id") % 10 < 9, 0).otherwise(F.col("id") % 10).alias("g"), (F.col("id") * 7919 % 3).alias("v")
     )
     keys = [F.desc("v"), F.asc("id")]
-    whole = {(r.id, r.pos) for r in ranked(rows, by, keys).collect()}
-    sliced = {(r.id, r.pos) for r in ranked(rows, by, keys, max_task_rows=100, slice_rows=400).collect()}
-    assert sliced == whole
+    window = F.row_number().over(Window.partitionBy(*(by or [F.lit(1)])).orderBy(*keys))
+    whole = {(r.id, r.pos) for r in rows.withColumn("pos", window).collect()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        positioned = ranked(rows, by, keys)
+        assert {(r.id, r.pos) for r in positioned.collect()} == whole
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {(r.id, r.pos) for r in ranked(rows, by, keys).collect()} == whole
+    assert not ranked(rows.limit(0), by, keys).collect()
 
 
 def test_sliced_positions_with_spanish_names(spark):
@@ -88,8 +96,9 @@ def test_sliced_positions_with_spanish_names(spark):
 
     rows = spark.range(300).select("id", F.concat(F.element_at(F.array(*map(F.lit, ("Á", "a", "ñ", "N"))), (F.col("id") % 4 + 1).cast("int")), F.lit("x")).alias("n"))
     keys = [spanish(F.col("n")).asc(), F.asc("id")]
-    whole = {(r.id, r.pos) for r in ranked(rows, [], keys).collect()}
-    assert {(r.id, r.pos) for r in ranked(rows, [], keys, max_task_rows=10, slice_rows=50).collect()} == whole
+    window = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*keys))
+    whole = {(r.id, r.pos) for r in rows.withColumn("pos", window).collect()}
+    assert {(r.id, r.pos) for r in ranked(rows, [], keys).collect()} == whole
 
 
 def test_first_rows(spark):
