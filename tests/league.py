@@ -1,58 +1,56 @@
-"""The small league most tests share: two clubs, three teams, a player on two rosters, and dirty rows around them."""
+"""The small invented league most tests share: two clubs, three teams, a player on two rosters, and dirty rows around them."""
 
 from __future__ import annotations
 
-LHC = ("Mayores", "LHC Hipotecario Seguros", "M")
+SCOPE = ("Cadetes", "Zona Norte", "F")
 
 
 def raw_tables(frame, dirty: bool = True) -> dict:
-    teams = [("101", "1", 3, *LHC, "A"), ("102", "2", 3, *LHC, "A"), ("103", "1", 3, *LHC, "B")]
+    teams = [("41", "6", 8, *SCOPE, "A"), ("42", "7", 8, *SCOPE, "A"), ("43", "6", 8, *SCOPE, "C")]
     rosters = [
-        (1, "11", "101", 7, "Lateral"), (2, "12", "102", 9, "Central"), (3, "13", "103", 10, "Extremo"),
-        (4, "11", "103", 17, "Lateral"),
+        (1, "71", "43", 15, "Pivot"), (2, "72", "42", 4, "Central"), (3, "73", "43", 22, "Arquera"), (4, "71", "41", 5, "Pivot"),
     ]
     matches = [
-        (201, "2026-09-01", "20:00:00", 1, "101", "102", "finalizado", 30, 28),
-        (203, "2026-09-03", "20:00:00", 1, "102", "103", "finalizado", 24, 26),
-        (202, "2026-09-08", "20:00:00", 2, "102", "101", "programado", None, None),
+        (501, "2025-04-12", "16:30:00", 3, "41", "42", "finalizado", 27, 24),
+        (502, "2025-05-03", "11:00:00", 5, "42", "41", "programado", None, None),
+        (503, "2025-04-19", "18:45:00", 4, "42", "43", "finalizado", 21, 25),
     ]
     lines = [
-        (1, "201", "11", "101", 10, 1, 0), (2, "201", "12", "102", 8, 0, 1), (3, "203", "13", "103", 6, 0, 0),
-        (4, "203", "11", "103", 4, 0, 0),
+        (1, "501", "71", "41", 9, 2, 0), (2, "501", "72", "42", 7, 0, 1), (3, "503", "71", "43", 3, 0, 0),
+        (4, "503", "73", "43", 2, 0, 0),
     ]
     if dirty:
-        teams += [
-            ("104", "999", 3, *LHC, "A"), ("105", "1", 4, *LHC, "A"), ("106", None, 3, *LHC, "A"),
-            ("no-numérico", "1", 3, *LHC, "A"),
-        ]
+        # unknown club, another season, no club, an id that is no number
+        teams += [("44", "60", 8, *SCOPE, "A"), ("45", "6", 9, *SCOPE, "A"), ("46", None, 8, *SCOPE, "A"), ("s/n", "6", 8, *SCOPE, "A")]
+        # unknown player, unknown team, dropped team, no player, an id that is no number
         rosters += [
-            (90, "999", "101", 90, None), (91, "11", "999", 91, None), (92, "11", "104", 92, None),
-            (93, None, "101", 93, None), (94, "12", "no-numérico", 94, None),
+            (80, "700", "41", 50, None), (81, "71", "400", 51, None), (82, "72", "44", 52, None), (83, None, "42", 53, None),
+            (84, "73", "s/n", 54, None),
         ]
+        # away, home or both teams unknown, a dropped team
         matches += [
-            (204, "2026-09-10", None, None, "101", "999", "finalizado", 31, 20),
-            (205, "2026-09-11", None, None, "999", "102", "finalizado", 20, 31),
-            (206, "2026-09-12", None, None, "998", "999", "finalizado", 22, 21),
-            (207, "2026-09-13", None, None, "104", "101", "finalizado", 22, 21),
+            (510, "2025-06-01", None, None, "41", "400", "finalizado", 12, 13), (511, "2025-06-02", None, None, "400", "42", "finalizado", 15, 9),
+            (512, "2025-06-03", None, None, "401", "402", "finalizado", 8, 8), (513, "2025-06-04", None, None, "44", "41", "finalizado", 19, 16),
         ]
+        # a team, match or player missing; an unknown team or match; a team that did not play; lines of dropped matches
         lines += [
-            (5, "201", "11", None, 99, 0, 0), (6, None, "11", "101", 99, 0, 0), (7, "201", None, "101", 99, 0, 0),
-            (8, "201", "11", "999", 99, 0, 0), (9, "999", "11", "101", 99, 0, 0), (10, "201", "11", "103", 99, 0, 0),
-            (11, "204", "11", "101", 99, 0, 0), (12, "207", "11", "101", 99, 0, 0),
+            (20, "501", "71", None, 40, 0, 0), (21, None, "71", "41", 40, 0, 0), (22, "501", None, "41", 40, 0, 0),
+            (23, "501", "71", "400", 40, 0, 0), (24, "599", "71", "41", 40, 0, 0), (25, "501", "71", "43", 40, 0, 0),
+            (26, "510", "71", "41", 40, 0, 0), (27, "513", "71", "41", 40, 0, 0),
         ]
     return {
         "clubes": frame(
             "id int, nombre string, abreviatura string, ciudad string, logo_url string, activo boolean",
-            (1, "Ferro Carril Oeste", "FCO", "CABA", "https://example.test/ferro.png", True),
-            (2, "S.A.G. Villa Ballester", None, None, None, True),
+            (6, "Molino Azul", "MOA", "Puerto Inventado", "https://liga.example/molino.png", True),
+            (7, "C.D. Los Cerezos", None, None, None, True),
         ),
         "equipos": frame(
             "id string, club_id string, temporada_id int, categoria string, division string, rama string, equipo_codigo string",
             *teams,
         ),
         "jugadores": frame(
-            "id int, nombre string, apellido string, altura_cm int", (11, "Juan", "Pérez", 188), (12, "Mateo", "López", 184),
-            (13, "Tomás", "B", None),
+            "id int, nombre string, apellido string, altura_cm int", (71, "Noa", "Quillfeder", 176), (72, "Uma", "Zunderal", 169),
+            (73, "Kim", "Ó", None),
         ),
         "planteles": frame("id int, jugador_id string, equipo_id string, dorsal int, posicion string", *rosters),
         "partidos": frame(

@@ -16,12 +16,12 @@ FEED = (
     "local_equipo_codigo string, visitante_equipo_codigo string, tipo_fuente string, local_equipo_id int, visitante_equipo_id int"
 )
 BASE = {
-    "fecha": "2026-09-05", "hora": "18:00", "categoria": "Mayores", "division": "LHC Hipotecario Seguros", "rama": "M",
-    "local": "Ferro Carril Oeste", "visitante": "SAG Villa Ballester", "local_equipo_codigo": "A",
-    "visitante_equipo_codigo": "A", "tipo_fuente": "fecha_normal", "local_equipo_id": None, "visitante_equipo_id": None,
+    "fecha": "2025-04-12", "hora": "16:30", "categoria": "Cadetes", "division": "Zona Norte", "rama": "F",
+    "local": "Molino Azul", "visitante": "Los Cerezos", "local_equipo_codigo": "A",
+    "visitante_equipo_codigo": "C", "tipo_fuente": "fecha_normal", "local_equipo_id": None, "visitante_equipo_id": None,
 }
-IDS = {"local_equipo_id": 10, "visitante_equipo_id": 20}
-MOVED = {"fecha": "2026-09-10", "hora": "20:30", "tipo_fuente": "reprogramacion"}
+IDS = {"local_equipo_id": 31, "visitante_equipo_id": 32}
+MOVED = {"fecha": "2025-04-19", "hora": "19:15", "tipo_fuente": "reprogramacion"}
 
 
 def feed(frame, *changes):
@@ -34,23 +34,23 @@ def prioritized(frame, *changes):
 
 
 def test_same_clubs_in_two_categories_are_two_match_ups(frame):
-    selected, ambiguous, rejected = prioritized(frame, {}, {"categoria": "Juveniles", "division": "A", "fecha": "2026-09-06"})
+    selected, ambiguous, rejected = prioritized(frame, {}, {"categoria": "Menores", "division": "Zona Sur", "fecha": "2025-04-13"})
     assert (len(selected), ambiguous, rejected) == (2, [], [])
 
 
 def test_one_rescheduling_wins(frame):
     (row,), ambiguous, _ = prioritized(frame, IDS, IDS | MOVED)
-    assert (row.fecha, row.fuente_priorizada, row.versiones_detectadas) == ("2026-09-10", "reprogramacion", 2)
-    assert (row.fecha_programacion_original, row.hora_programacion_original, ambiguous) == ("2026-09-05", "18:00", [])
+    assert (row.fecha, row.fuente_priorizada, row.versiones_detectadas) == ("2025-04-19", "reprogramacion", 2)
+    assert (row.fecha_programacion_original, row.hora_programacion_original, ambiguous) == ("2025-04-12", "16:30", [])
 
 
 def test_two_reschedulings_are_ambiguous(frame):
-    selected, (row,), _ = prioritized(frame, IDS | MOVED, IDS | MOVED | {"fecha": "2026-09-11"})
+    selected, (row,), _ = prioritized(frame, IDS | MOVED, IDS | MOVED | {"fecha": "2025-04-20"})
     assert (selected, row.tipo) == ([], "multiples_reprogramaciones")
 
 
 def test_two_normal_dates_are_ambiguous(frame):
-    selected, (row,), _ = prioritized(frame, {}, {"fecha": "2026-09-06"})
+    selected, (row,), _ = prioritized(frame, {}, {"fecha": "2025-04-13"})
     assert (selected, row.tipo) == ([], "mismo_cruce_repetido")
 
 
@@ -66,8 +66,8 @@ def test_team_letter_is_part_of_the_identity(frame):
 
 def test_broken_publications_are_rejected(frame):
     _, _, errors = prioritized(
-        frame, {"categoria": ""}, {"rama": "X"}, {"local_equipo_id": 10}, IDS | {"visitante_equipo_id": 10},
-        {"visitante": "FERRO  Carril Oeste"}, {"tipo_fuente": "otra"}, {"fecha": " "}, {"local_equipo_codigo": " "},
+        frame, {"categoria": ""}, {"rama": "X"}, {"local_equipo_id": 31}, IDS | {"visitante_equipo_id": 31},
+        {"visitante": "MOLINO  azul"}, {"tipo_fuente": "otra"}, {"fecha": " "}, {"local_equipo_codigo": " "},
     )
     assert errors == [
         "Fixture sin categoria", "Rama inválida: X", "Fixture con un solo equipo_id resuelto",
@@ -226,17 +226,17 @@ def test_unreadable_round_goes_to_review_once(frame, base):
 
 def test_teams_are_found_created_and_named(frame, base):
     rows = base["rows"]
-    clubs = rows(CLUBES, {"id": 1, "nombre": "Ferro Carril Oeste", "activo": True}, {"id": 2, "nombre": "S.A.G.", "activo": True},
+    clubs = rows(CLUBES, {"id": 1, "nombre": "Molino Azul", "activo": True}, {"id": 2, "nombre": "C.D.L.", "activo": True},
                  {"id": 9, "nombre": "Viejo", "activo": False})
-    aliases = rows(CLUB_ALIASES, {"id": 5, "club_id": 2, "alias": "SAG Villa", "alias_normalizado": "sag villa", "activo": True})
+    aliases = rows(CLUB_ALIASES, {"id": 5, "club_id": 2, "alias": "CDL Cerezos", "alias_normalizado": "cdl cerezos", "activo": True})
     requests = frame(
         "seq int, club_nombre string, temporada_id int, categoria string, division string, rama string, equipo_codigo string, nombre_federacion string",
-        (1, "FERRO carril  oeste", 3, "Mayores", "LHC", "m", None, "Ferro"),
-        (2, "Sag Villa", 3, "Mayores", "Nueva", "M", "b", None),
-        (3, "SAG villa", 3, "Mayores", "Nueva", "M", "B", "Sag B"),
+        (1, "MOLINO  azul", 3, "Mayores", "LHC", "m", None, "Molino"),
+        (2, "Cdl Cerezos", 3, "Mayores", "Nueva", "M", "b", None),
+        (3, "CDL cerezos", 3, "Mayores", "Nueva", "M", "B", "Cdl B"),
         (4, "Viejo", 3, "Mayores", "LHC", "M", "A", None),
-        (5, "S.A.G.", 7, "Mayores", "LHC", "M", "A", None),
-        (6, "S.A.G.", 3, "Mayores", "LHC", "X", "A", None),
+        (5, "C.D.L.", 7, "Mayores", "LHC", "M", "A", None),
+        (6, "C.D.L.", 3, "Mayores", "LHC", "X", "A", None),
     )
     result = team_sync.sync_teams(requests, base["temporadas"], clubs, base["equipos"], aliases)
     found = {r.seq: r for r in result.results.collect()}
@@ -245,6 +245,6 @@ def test_teams_are_found_created_and_named(frame, base):
     assert found[4].error == "Club no reconocido: Viejo. Agregar alias confirmado antes de sincronizar."
     assert (found[5].error, found[6].error) == ("temporada_id inexistente o requerido: 7", "rama invalida: X")
     teams = {r.id: r for r in result.teams.collect()}
-    assert (teams[1].nombre_federacion, teams[8].nombre_federacion, teams[8].equipo_codigo) == ("Ferro", "Sag B", "B")
+    assert (teams[1].nombre_federacion, teams[8].nombre_federacion, teams[8].equipo_codigo) == ("Molino", "Cdl B", "B")
     learned = {r.alias_normalizado: (r.id, r.club_id) for r in result.aliases.collect()}
-    assert learned == {"sag villa": (5, 2), "ferro carril oeste": (6, 1)}
+    assert learned == {"cdl cerezos": (5, 2), "molino azul": (6, 1)}

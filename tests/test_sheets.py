@@ -1,4 +1,4 @@
-"""Match sheets: two layouts, reconciliation, rejection and loading."""
+"""Match sheets: two layouts, reconciliation, rejection and loading. Clubs and people are invented."""
 
 from __future__ import annotations
 
@@ -8,21 +8,23 @@ from tanteo.plans import match_sheets as sheets
 from tanteo.sources import csv_files
 
 PLAYERS = """Nº Local G TAm 2 TR TAz
-1 Costa, Alan Nahuel - - - - -
-7 Duarte,  Ian 5 - 1 - -
-9 Pereyra Oyarzun, Tobias 2 - - 1 -
-A Capurro, Fernando Luis - - - -
+3 Quillfeder, Bruno Teo 4 1 - - -
+14 Vantongel,  Oto - - 2 - -
+21 Ilmarino Zeta, Noa 2 - - 1 -
+A Briscol, Delia - - - - -
 Nº Visitante G TAm 2 TR TAz
-2 Farina, Martín 1 1 - - -
-8 Schank, Valentín 7 - 1 - 1
-A Fernandez, Rodrigo - - - -
+5 Zunderal, Paz 2 - 1 - -
+6 Obregozo, Lía 1 - - - 1
+30 Tamberlin, Kim 1 - - - -
+A Mastrovo, Ana - - - - -
+A Pelgrin, Uma - - - - -
 Arbitros
-5 Juez, Pedro 9 - - - -"""
-HEAD = "Torneo Metropolitano\r\nFecha:\n2026-03-21\nHora:\n20:15:00\nCategoria - Division:\nMayores - LHC Hipotecario Seguros\n"
-PLAIN = f"{HEAD}Equipo local\nArgentinos Norte 7\nEquipo visitante\nFerro Carril Oeste 8\n{PLAYERS}"
+8 Silbato, Max 9 - - - -"""
+HEAD = "Copa de Prueba\r\nFecha:\n2025-04-12\nHora:\n16:30:00\nCategoria - Division:\nCadetes - Zona Norte\n"
+PLAIN = f"{HEAD}Equipo local\nMolino Azul 6\nEquipo visitante\nLos Cerezos 4\n{PLAYERS}"
 SPLIT = (
-    f"{HEAD}EQUIPO LOCAL\nArgentinos Norte\n7\nGoles PT 3 ST 4 PTE 0 STE 0 P 0\n\n  Equipo   visitante\nFerro Carril Oeste\n"
-    f"Goles PT 4 ST 4 PTE 0 STE 0 P 0\n{PLAYERS}"
+    f"{HEAD}EQUIPO LOCAL\nMolino Azul\n6\nGoles PT 2 ST 4 PTE 0 STE 0 P 0\n\n  Equipo   visitante\nLos Cerezos\n"
+    f"Goles PT 1 ST 3 PTE 0 STE 0 P 0\n{PLAYERS}"
 )
 
 
@@ -38,12 +40,10 @@ def test_both_layouts(parse):
     plain, split = parse(PLAIN, SPLIT).orderBy("path").collect()
     for row in (plain, split):
         assert row.error is None
-        assert (row.fecha, row.hora, row.categoria, row.division) == ("2026-03-21", "20:15:00", "Mayores", "LHC Hipotecario Seguros")
-        assert (row.local_nombre, row.local_goles, row.visitante_nombre, row.visitante_goles) == (
-            "Argentinos Norte", 7, "Ferro Carril Oeste", 8,
-        )
+        assert (row.fecha, row.hora, row.categoria, row.division) == ("2025-04-12", "16:30:00", "Cadetes", "Zona Norte")
+        assert (row.local_nombre, row.local_goles, row.visitante_nombre, row.visitante_goles) == ("Molino Azul", 6, "Los Cerezos", 4)
         assert [(p.dorsal, p.apellido, p.nombre, p.goles) for p in row.jugadores_local] == [
-            (1, "Costa", "Alan Nahuel", 0), (7, "Duarte", "Ian", 5), (9, "Pereyra Oyarzun", "Tobias", 2),
+            (3, "Quillfeder", "Bruno Teo", 4), (14, "Vantongel", "Oto", 0), (21, "Ilmarino Zeta", "Noa", 2),
         ]
     assert (plain.local_metodo, plain.visitante_metodo) == ("encabezado", "encabezado")
     assert (split.local_metodo, split.visitante_metodo) == ("encabezado_separado", "parciales_PT_ST_PTE_STE")
@@ -53,24 +53,24 @@ def test_both_layouts(parse):
 def test_summary(parse):
     row = sheets.sheet_summary(parse(PLAIN)).first()
     assert row.asDict() == {
-        "path": "0", "jugadores": 5, "goles": 15, "amarillas": 1, "exclusiones_2min": 2, "rojas": 1, "azules": 1,
+        "path": "0", "jugadores": 6, "goles": 10, "amarillas": 1, "exclusiones_2min": 3, "rojas": 1, "azules": 1,
     }
 
 
 def test_rejections(parse):
     cases = {
-        PLAIN.replace("Oeste 8", "Oeste 9"): "Goles visitante no cierran: marcador=9, jugadores=8",
-        SPLIT.replace("PT 4 ST 4", "PT 4 ST 5"): "Goles visitante no cierran: marcador=9, jugadores=8",
-        SPLIT.replace("PT 4 ST 4 PTE 0 STE 0 P 0", "PT 4 ST 4 PTE 0 STE 0 P 1"):
+        PLAIN.replace("Cerezos 4", "Cerezos 5"): "Goles visitante no cierran: marcador=5, jugadores=4",
+        SPLIT.replace("PT 1 ST 3", "PT 2 ST 3"): "Goles visitante no cierran: marcador=5, jugadores=4",
+        SPLIT.replace("PT 1 ST 3 PTE 0 STE 0 P 0", "PT 1 ST 3 PTE 0 STE 0 P 1"):
             "La planilla de visitante tiene definición P=1; requiere validación específica",
         " \n ": "La planilla está vacía",
-        PLAIN.replace("2026-03-21", "21/03/2026"): "No se pudo extraer fecha",
-        PLAIN.replace("20:15:00", "20:15"): "No se pudo extraer hora",
-        PLAIN.replace("Mayores - LHC", "Mayores LHC"): "Categoría/división inválida",
+        PLAIN.replace("2025-04-12", "12/04/2025"): "No se pudo extraer fecha",
+        PLAIN.replace("16:30:00", "16:30"): "No se pudo extraer hora",
+        PLAIN.replace("Cadetes - Zona", "Cadetes Zona"): "Categoría/división inválida",
         PLAIN.replace("Equipo local", "Local"): "No se encontró Equipo local",
-        SPLIT.replace("Goles PT 4 ST 4 PTE 0 STE 0 P 0\n", ""): "No se pudo extraer el marcador visitante de forma independiente",
+        SPLIT.replace("Goles PT 1 ST 3 PTE 0 STE 0 P 0\n", ""): "No se pudo extraer el marcador visitante de forma independiente",
         PLAIN.replace("Nº Visitante G TAm 2 TR TAz", "Visitante"): "No se encontró sección Nº Visitante G TAm 2 TR TAz",
-        PLAIN.replace("2 Farina", "X Farina").replace("8 Schank", "X Schank"):
+        PLAIN.replace("5 Zunderal", "X Zunderal").replace("6 Obregozo", "X Obregozo").replace("30 Tamberlin", "X Tamberlin"):
             "La sección Nº Visitante G TAm 2 TR TAz no contiene jugadores",
     }
     parsed = parse(*cases)
@@ -80,27 +80,27 @@ def test_rejections(parse):
 
 
 def test_loading_twice_changes_nothing(spark, frame, parse):
-    cards = frame("team_id int, category string, division string", (1, "Mayores", "LHC Hipotecario Seguros"), (2, "Mayores", "LHC Hipotecario Seguros"))
+    cards = frame("team_id int, category string, division string", (1, "Cadetes", "Zona Norte"), (2, "Cadetes", "Zona Norte"))
     matches = frame(
         "match_id int, match_date string, home_team_id int, away_team_id int, home_name string, away_name string, home_scope string, away_scope string",
-        (50, "2026-03-21", 1, 2, "ARGENTINOS norte", "Ferro Carril Oeste", "s", "s"),
+        (50, "2025-04-12", 1, 2, "MOLINO azul", "Los Cerezos", "s", "s"),
     )
-    players = frame("player_id int, first_name string, last_name string", (30, "Martin", "Farina"))
-    rosters = frame("player_id int, team_id int", (30, 2))
-    parsed = parse(PLAIN, PLAIN.replace("Argentinos Norte", "Otro Club"))
+    players = frame("player_id int, first_name string, last_name string", (70, "Lia", "Obregozo"))
+    rosters = frame("player_id int, team_id int", (70, 2))
+    parsed = parse(PLAIN, PLAIN.replace("Molino Azul", "Otro Club"))
     load = sheets.sheets_to_participations(parsed, matches, cards, players, rosters)
     assert [(r.path, r.fits) for r in load.unresolved.collect()] == [("1", 0)]
     lines = {(r.team_id, r.shirt_used): r.player_id for r in load.lines.collect()}
-    assert lines[2, 2] == 30 and len(lines) == 5
-    assert sorted(r.player_id for r in load.new_players.collect()) == [31, 32, 33, 34]
+    assert lines[2, 6] == 70 and len(lines) == 6
+    assert sorted(r.player_id for r in load.new_players.collect()) == [71, 72, 73, 74, 75]
     stored = frame(
         "line_id int, match_id int, player_id bigint, team_id int, goals bigint, two_min bigint, yellow bigint, red bigint, shirt_used int",
-        (1, 50, 30, 2, 9, 0, 0, 0, None), (2, 51, 30, 2, 3, 0, 0, 0, None),
+        (1, 50, 70, 2, 9, 0, 0, 0, None), (2, 51, 70, 2, 3, 0, 0, 0, None),
     )
     once = sheets.merge_participations(stored, load.lines)
     twice = sheets.merge_participations(once, load.lines)
-    assert once.count() == 6 and sorted(map(str, once.collect())) == sorted(map(str, twice.collect()))
-    assert once.where("match_id = 50 and player_id = 30").first().goals == 1
+    assert once.count() == 7 and sorted(map(str, once.collect())) == sorted(map(str, twice.collect()))
+    assert once.where("match_id = 50 and player_id = 70").first().goals == 1
 
 
 def test_sheets_are_read_whole(spark, tmp_path):
@@ -111,9 +111,9 @@ def test_sheets_are_read_whole(spark, tmp_path):
 
 
 def test_csv_files(spark, frame, tmp_path):
-    rows = frame("Jugador string, Goles int", ('Juan "Pepe"', -3), ("=1+1", None), ("  -x", 2), (None, 0))
+    rows = frame("Jugador string, Goles int", ('Noa "Zeta"', -3), ("=7*7", None), ("  -x", 2), (None, 0))
     csv_files.write_csv(rows.coalesce(1), str(tmp_path / "out"))
     (part,) = (tmp_path / "out").glob("part-*.csv")
     assert part.read_text(encoding="utf-8").splitlines() == [
-        '"Jugador","Goles"', '"Juan ""Pepe""","-3"', '"\'=1+1",""', '"\'  -x","2"', '"","0"',
+        '"Jugador","Goles"', '"Noa ""Zeta""","-3"', '"\'=7*7",""', '"\'  -x","2"', '"","0"',
     ]
