@@ -141,4 +141,7 @@ def judged(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text",
 
 def kept(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass every rule, with the columns of ``docs``."""
-    return judged(docs, text=text).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    # a generator of one row: the filter stays above it, so that the counts are not computed again for each rule that reads them
+    verdict = F.inline(F.array(F.struct(F.col("kept").alias("_passes"))))
+    return judged(docs, text=text).select(*names, verdict).where("_passes").select(*names)
