@@ -1,10 +1,14 @@
 """Substring dedup by collinear chaining: shared k-mer seeds, chains with gap costs, and an alignment of each chain.
 
 Seeds are hashes of ``K`` words, one for every run of ``WINDOW`` neighbouring hashes (the smallest), so two texts with an equal
-passage of ``K + WINDOW - 1`` words share a seed. All texts with a seed meet its head, the text with the smallest key, and not
-each other: rows grow with the occurrences, not with their pairs. The seeds that a text shares with one head are chained in word
-order on both sides; a chain earns a seed's new words and pays ``GAP`` for every word skipped on either side, and a Fenwick tree
-over the head's positions finds the best chain to extend. A chain is extended over equal words at both ends and aligned: it is a
+passage of ``K + WINDOW - 1`` words share a seed; a seed and the one behind it are a seed, too. All texts with a seed meet its head,
+the text with the smallest key, and not each other: rows grow with the occurrences, not with their pairs. A seed in a frequent
+phrase has a head that need not share more than the phrase. So every run of ``MIN_WORDS`` words has a head as well, at every place
+of every text: any head of such a run shares a whole passage, at whatever place it has the run, and each word that stands in an
+equal passage of ``MIN_WORDS`` words with any other text is in a span, except in the run's head itself.
+
+The seeds that a text shares with one head are chained in word order on both sides; a chain earns a seed's new words and pays
+``GAP`` for every word skipped on either side, and a Fenwick tree over the head's positions finds the best chain to extend. A chain is extended over equal words at both ends and aligned: it is a
 repeated passage if it has ``MIN_WORDS`` words and the longest common subsequence of the two sides is ``MIN_SHARE`` of their mean
 length.
 
@@ -24,11 +28,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tanteo.llm.store import stored
-from tanteo.llm.text import chunks, grams, words
+from tanteo.llm.text import chunks, grams, mixed, words
 
 K, WINDOW = 8, 16
 #: Cost of a skipped word, on either side.
@@ -63,18 +67,25 @@ def smallest(values: np.ndarray, begins: np.ndarray, window: int = WINDOW) -> np
     return np.unique(place[whole])
 
 
-def _seeds(docs: DataFrame, text: str) -> DataFrame:
-    """(seed, key, at): one row for each seed of a text, with all its places; a line that fills a text is one row, not thousands."""
+def _seeds(docs: DataFrame, text: str, k: int = K, window: int = WINDOW) -> DataFrame:
+    """(seed, key, at): one row for each seed of a text, with all its places; a line that fills a text is one row, not thousands.
+
+    With a ``window`` of one, every run of ``k`` words is a seed; otherwise, pairs of neighbouring seeds are seeds at the first's place.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
                 hashed, offsets = words(part.column("text"))
-                found, begins = grams(hashed, offsets, K)
-                at = smallest(found, begins)
+                found, begins = grams(hashed, offsets, k)
+                at = smallest(found, begins, window)
                 row = np.searchsorted(begins, at, side="right") - 1
-                at, row = at[(whole := np.diff(offsets)[row] >= K)], row[whole]
+                at, row = at[(whole := np.diff(offsets)[row] >= k)], row[whole]
                 seed = found[at].view(np.int64)
+                if window > 1:
+                    both = np.flatnonzero(np.diff(row) == 0)
+                    pair = mixed(found[at[both]] * np.uint64(0x9E3779B97F4A7C15) + found[at[both + 1]]).view(np.int64)
+                    at, row, seed = np.append(at, at[both]), np.append(row, row[both]), np.append(seed, pair)
                 order = np.lexsort((at, seed, row))
                 at, row, seed = at[order], row[order], seed[order]
                 first = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(seed) != 0))) if len(at) else at
@@ -84,7 +95,7 @@ def _seeds(docs: DataFrame, text: str) -> DataFrame:
                     "at": pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), places),
                 })
 
-    return docs.select(F.xxhash64(text).alias("key"), F.col(text).alias("text")).mapInArrow(run, "seed bigint, key bigint, at array<int>")
+    return docs.select(F.xxhash64(text).alias("key"), F.col(text).alias("text")).mapInArrow(run, "seed bigint not null, key bigint not null, at array<int>")
 
 
 class Fenwick:
@@ -143,13 +154,30 @@ def chains(here: np.ndarray, there: np.ndarray, k: int = K, gap: float = GAP) ->
     return out
 
 
+def stretches(head: np.ndarray, at: np.ndarray, there: np.ndarray, k: int = MIN_WORDS) -> list[tuple[int, int, int, int, int]]:
+    """(head, start, end, start there, end there) of equal runs of ``k`` words put together where they go on alike on both sides."""
+    if not len(at):
+        return []
+    order = np.lexsort((at, at - there, head))
+    head, at, there = head[order], at[order], there[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(head) != 0) | (np.diff(at) != 1) | (np.diff(there) != 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(at)) - 1
+    return list(zip(*(x.tolist() for x in (head[first], at[first], at[last] + k, there[first], there[last] + k)), strict=True))
+
+
 def _chained(frame: pd.DataFrame) -> pd.DataFrame:
-    rows = []
-    for head, found in frame.groupby("head", sort=True):
-        for a, b, c, d, score in chains(found["at"].to_numpy(), found["there"].to_numpy()):
+    equal = frame["equal"].to_numpy()
+    runs = frame[equal]
+    rows = set(stretches(runs["head"].to_numpy(), runs["at"].to_numpy(), runs["there"].to_numpy()))
+    for head, found in frame[~equal].groupby("head", sort=True):
+        for a, b, c, d, _ in chains(found["at"].to_numpy(), found["there"].to_numpy()):
             if b - a + 2 * (WINDOW + K) >= MIN_WORDS:
-                rows.append((frame["key"].iloc[0], head, a, b, c, d, score))
-    return pd.DataFrame(rows, columns=["key", "head", "a", "b", "c", "d", "score"])
+                rows.add((head, a, b, c, d))
+    out = pd.DataFrame(sorted(rows), columns=["head", "a", "b", "c", "d"])
+    out.insert(0, "key", frame["key"].iloc[0])
+    return out
 
 
 def common_words(one: list[str], two: list[str]) -> int:
@@ -201,10 +229,16 @@ def _aligned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def passages(docs: DataFrame, text: str = "text") -> DataFrame:
     """(key, head, a, b, c, d): words a to b of the text ``key`` repeat words c to d of the text ``head``."""
     given = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{text}`").alias("text"))
-    seeds = _seeds(given, "text").repartition("seed")
-    heads = seeds.groupBy("seed").agg(F.min("key").alias("head"), F.max("key").alias("_last"), F.min_by(F.col("at")[0], F.col("key")).alias("there"))
-    shared = seeds.join(heads.where("head != _last"), "seed").where("key != head").select("key", "head", "at", "there").distinct().withColumn("at", F.explode("at"))
-    found = stored(shared.groupBy("key").applyInPandas(_chained, "key bigint, head bigint, a int, b int, c int, d int, score double"))
+
+    def shared(k: int, window: int) -> DataFrame:
+        """(key, head, at, there): the places of each seed that a text shares with its head."""
+        seeds = _seeds(given, "text", k, window).repartition("seed")
+        heads = seeds.groupBy("seed").agg(F.min("key").alias("head"), F.max("key").alias("_last"), F.min_by(F.col("at")[0], F.col("key")).alias("there"))
+        return seeds.join(heads.where("head != _last"), "seed").where("key != head").select("key", "head", "at", "there").distinct().withColumn("at", F.explode("at"))
+
+    # a seed and its pair may have the same head and place
+    links = shared(K, WINDOW).distinct().withColumn("equal", F.lit(False)).unionByName(shared(MIN_WORDS, 1).withColumn("equal", F.lit(True)))
+    found = stored(links.groupBy("key").applyInPandas(_chained, "key bigint, head bigint, a int, b int, c int, d int"))
     texts = given.select(F.xxhash64("text").alias("key"), "text").dropDuplicates(["key"])
     texts = texts.select("key", F.array_remove(F.split(F.lower("text"), _BLANK), "").alias("_words"))
 
@@ -225,6 +259,9 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
                        F.size(F.array_remove(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), _BLANK), "")).cast("long").alias("n_words"))
     first = stored(rows.groupBy("_key").agg(F.min(f"`{doc_id}`").alias("_first")))
     named = found.join(first.select(F.col("_key").alias("head"), F.col("_first").alias("doc_id")), "head")
+    # a span inside another one with the same head says nothing new
+    wider = Window.partitionBy("key", "head").orderBy("a", F.desc("b"), "c", "d").rowsBetween(Window.unboundedPreceding, -1)
+    named = named.withColumn("_reach", F.max("b").over(wider)).where("_reach is null or _reach < b")
     # a text's spans are at most its words; so are the steps of a head's words
     spans = named.groupBy(F.col("key").alias("_key")).agg(F.array_sort(F.collect_set(F.struct(F.col("a").alias("start"), F.col("b").alias("end"), "doc_id"))).alias("spans"))
     steps = found.select(F.col("head").alias("_key"), F.explode(F.sequence(F.floor(F.col("c") / STEP), F.floor((F.col("d") - 1) / STEP))).alias("_step")).distinct()

@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 from tanteo.llm import decontamination, ngram_join, substring_dedup
 from tanteo.llm.components import components
@@ -91,6 +92,20 @@ def test_fuzzy_passages_are_found(docs, prose):
     assert substring_dedup.repeats(docs(*texts).limit(0)).count() == 0
 
 
+def test_passages_of_frequent_phrases_are_found(spark, docs, prose):
+    shared = prose(60, 110).split()
+    texts = [f"{prose(30, 111)} {' '.join(shared)} {prose(30, 112)}", f"{prose(50, 113)} {' '.join(shared)} {prose(20, 114)}"]
+    key = lambda text: (xxhash.xxh64_intdigest(text, 42) ^ 1 << 63) - (1 << 63)
+    least = min(map(key, texts))
+    # every run of 8 words, and every pair of neighbouring seeds, stands in a text with a smaller key that repeats no passage
+    for at in range(0, 31, 6):
+        snippet = " ".join(shared[at : at + 30])
+        texts.append(next(t for n in itertools.count() if key(t := f"{snippet} end{at}x{n}") < least))
+    rows = {r.doc_id: r for r in substring_dedup.repeats(docs(*texts)).collect()}
+    spans = [(i, s.end - s.start, s.doc_id) for i, r in rows.items() for s in r.spans]
+    assert len(spans) == 1 and spans[0][1] == 60 and {spans[0][0], spans[0][2]} == {0, 1}
+
+
 def test_chain_scores_equal_brute_force():
     source = random.Random(2)
     for _ in range(60):
