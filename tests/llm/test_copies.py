@@ -153,3 +153,14 @@ def test_leaks_and_paraphrases(spark, docs, prose):
     assert clean.columns == frame.columns and clean.count() == len(texts) - 4
     assert decontamination.marked(frame.limit(0), benchmark).count() == 0
     assert decontamination.marked(frame, benchmark.limit(0)).where("size(leaks) > 0").count() == 0
+
+
+def test_items_in_most_documents_are_found(spark, docs, prose):
+    items = [(1, prose(30, 301)), (2, " ".join(random.Random(5).choices(prose(12, 302).split(), k=24)))]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    # item 1 stands in a third of the documents, all words of item 2 in every one
+    texts = [f"{prose(60, s)} {prose(12, 302)} {items[0][1] if s % 3 == 0 else ''} {prose(60, 900 + s)}" for s in range(400, 430)]
+    texts[5] += " " + items[1][1]
+    rows = decontamination.marked(docs(*texts), benchmark).collect()
+    found = {(r.doc_id, leak.item_id) for r in rows for leak in r.leaks}
+    assert found == {(i, 1) for i in range(30) if (400 + i) % 3 == 0} | {(5, 2)}
