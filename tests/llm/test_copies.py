@@ -164,3 +164,23 @@ def test_items_in_most_documents_are_found(spark, docs, prose):
     rows = decontamination.marked(docs(*texts), benchmark).collect()
     found = {(r.doc_id, leak.item_id) for r in rows for leak in r.leaks}
     assert found == {(i, 1) for i in range(30) if (400 + i) % 3 == 0} | {(5, 2)}
+
+
+def test_copies_beside_shuffled_words_long_and_short_items_are_found(spark, docs, prose):
+    items = [(1, prose(48, 501)), (2, prose(400, 502)), (3, "three short words"), (4, " "), (5, "")]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    texts = [prose(300, s) for s in range(600, 630)]
+    # one run of near passages: the words in other orders, and between them the item without every fourth word
+    w, source = items[0][1].split(), random.Random(9)
+    copy = " ".join(x for i, x in enumerate(w) if i % 4 != 3)
+    texts[3] = " ".join([*(x for _ in range(3) for x in source.sample(w, 48)), copy, *(x for _ in range(3) for x in source.sample(w, 48))])
+    texts[4] = " ".join(x for _ in range(6) for x in source.sample(w, 48))
+    # every third word of the long item replaced: no five words in a row are left
+    texts[5] = f"{prose(200, 503)} {' '.join(f'other{i}' if i % 10 in (2, 5, 8) else x for i, x in enumerate(items[1][1].split()))} {prose(200, 504)}"
+    texts[6] += " Three short words and more"
+    texts[7] += " three words short"
+    # latent vectors that are alike in strength, whatever the few texts here share
+    vectors = np.random.default_rng(3).standard_normal((decontamination.TERMS, 64)).astype(np.float16)
+    searched = decontamination._items(benchmark.collect(), vectors, np.ones(decontamination.TERMS))
+    rows = decontamination.searched(docs(*texts), searched, vectors).collect()
+    assert {(r.doc_id, leak.item_id) for r in rows for leak in r.leaks} == {(3, 1), (5, 2), (6, 3)}
