@@ -59,12 +59,14 @@ _ENDS_P = {
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _LIMITS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 _SPACE = re.compile(r"\s+")
+_COMMENT_END = re.compile(r"--!?>")
 
 
 class _Reader(HTMLParser):
     """Collects blocks (text, inside an article, numbers of the open boxes) and a running hash of each box."""
 
-    CDATA_CONTENT_ELEMENTS = ("script", "style")
+    #: Their content is text up to the end tag, as in browsers.
+    CDATA_CONTENT_ELEMENTS = ("script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp")
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -84,6 +86,14 @@ class _Reader(HTMLParser):
             if box >= 0:
                 self.boxes[box].update(what)
 
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        """Where the comment at ``i`` ends; one that never ends hides the rest of the page, which is fed as a whole."""
+        for whole in ("<!-->", "<!--->"):
+            if self.rawdata.startswith(whole, i):
+                return i + len(whole)
+        end = _COMMENT_END.search(self.rawdata, i + 4)
+        return end.end() if end else len(self.rawdata)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in _ENDS_P:
             self._close_open("p", {"button", "td", "th", "table", "li"} | _BOXES | _MAIN)
@@ -152,9 +162,7 @@ class _Reader(HTMLParser):
 def read(html: str | None) -> tuple[list[str], list[list[int]]]:
     reader = _Reader()
     html = html or ""
-    # a comment that never ends hides the rest of the page
-    last = html.rfind("<!--")
-    reader.feed(html[:last] if last >= 0 and html.find("-->", last) < 0 else html)
+    reader.feed(html)
     return reader.finish()
 
 

@@ -113,6 +113,13 @@ def test_main_text_of_a_page():
     assert html_text.read(None)[0] == html_text.read("")[0] == html_text.read("<p><!-- <p>x")[0] == []
 
 
+def test_only_comments_hide_text():
+    for before in ("<script><!-- x</script>", '<script>document.write("<!--")</script>', "<style><!-- </style>", "<textarea><!--</textarea>",
+                   '<a title="<!--">', "<!-- x --!>", "<!-->", "<!--->", "<!-- a -- b -->", "<title>a <!-- b</title>"):
+        assert html_text.read(f"<body>{before}<article><p>The text</p></article>")[0] == ["The text"], before
+    assert html_text.read("<p>a</p><!-- <p>b</p> -- > <p>c")[0] == ["a"]
+
+
 def test_recurring_boxes_go_and_copies_stay(spark):
     box = "<div><p>Read our other pages</p></div>"
     rows = [(i, f"https://a.org/{i}", f"<body>{box}<div><p>Text number {i}</p></div></body>") for i in range(30)]
