@@ -1,12 +1,14 @@
 """HTML extraction with site template removal.
 
 A page is read once, inside a task, into text blocks; each block knows the hashes of the element subtrees around it that could be
-site template. Spark counts in how many different pages of a host each subtree stands and deletes subtrees that recur: in
-``MIN_PAGES`` different pages or more and in ``MIN_SHARE`` of the host's different pages. Pages with the same text count once, so
+site template. Spark counts in how many different pages of a host each subtree stands and deletes subtrees that recur. A box (div,
+section and so on) is template in ``MIN_PAGES`` different pages, however many the host has. A paragraph, heading, list or other text
+block must stand in ``MIN_SHARE`` of the host's different pages as well, since short ones ("Yes.", "Summary") recur by chance where
+pages are many. On a small host, either is template in ``FEW_PAGES`` different pages that are ``MOST`` of the host's. Pages with the same text count once, so
 copies of one article on a host do not turn it into template. What can never be article text is dropped while reading: scripts,
 styles, menus, headers and footers of the page, sidebars, forms, and elements whose class, id or role says notice, advert,
 comments, menu and so on. A page with an ``article`` or ``main`` element keeps only what is inside the outermost ones; there,
-paragraphs, headings, lists and tables are article text and never counted as template, boxes are.
+items, rows and cells are counted only as parts of their list or table.
 
 Character references are decoded, white space in a block becomes one blank, blocks stand in page order, joined by a newline;
 a ``br`` is white space. Unclosed and wrongly nested elements are read as browsers read them, as far as blocks are concerned; a
@@ -31,6 +33,7 @@ from tanteo.llm.store import stored
 from tanteo.llm.text import chunks
 
 MIN_PAGES, MIN_SHARE = 10, 0.2
+FEW_PAGES, MOST = 3, 0.5
 
 _DROPPED = {
     "script", "style", "noscript", "template", "nav", "aside", "form", "head", "title", "menu", "dialog", "button", "select", "textarea",
@@ -51,6 +54,8 @@ _LABELS = re.compile(
     r"sidebar|aside|widget|footer|masthead|share|sharing|social|related|recommend\w*|pagination|pager|toolbar|skip|search)(?=$|[\s_-])", re.I,
 )
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar"}
+#: Parts of a list or table: without one of them, an article's table would say something else.
+_PARTS = {"li", "dt", "dd", "tr", "td", "th", "tbody", "thead", "tfoot", "caption", "colgroup", "figcaption", "legend", "summary", "optgroup", "option"}
 #: Elements that end an open paragraph.
 _ENDS_P = {
     "address", "article", "aside", "blockquote", "center", "details", "dialog", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2",
@@ -72,6 +77,7 @@ class _Reader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, bool, int]] = []  # tag, dropped, article, box (-1: none)
         self.boxes: list = []
+        self.tags: list[str] = []
         self.blocks: list[tuple[str, bool, tuple[int, ...]]] = []
         self.text: list[str] = []
 
@@ -118,9 +124,10 @@ class _Reader(HTMLParser):
             return
         self._note(f"<{tag}>")
         box = -1
-        if not dropped and (tag in _BOXES or (not article and tag not in ("html", "body") and tag not in _INLINE)):
+        if not dropped and tag not in ("html", "body", *_MAIN) and tag not in _INLINE and not (article and tag in _PARTS):
             box = len(self.boxes)
             self.boxes.append(xxhash.xxh3_64(tag))
+            self.tags.append(tag)
         self.open.append((tag, dropped, article, box))
 
     def handle_endtag(self, tag: str) -> None:
@@ -155,7 +162,8 @@ class _Reader(HTMLParser):
         self._flush()
         inside = any(article for _, article, _ in self.blocks)
         kept = [(text, boxes) for text, article, boxes in self.blocks if article or not inside]
-        hashed = [b.intdigest() - (1 << 63) for b in self.boxes]
+        # the lowest bit tells text blocks from boxes
+        hashed = [(b.intdigest() & ~1 | (tag not in _BOXES)) - (1 << 63) for b, tag in zip(self.boxes, self.tags, strict=True)]
         return [t for t, _ in kept], [[hashed[b] for b in boxes] for _, boxes in kept]
 
 
@@ -193,12 +201,15 @@ def extracted(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     held = read_.where(boxed)
     # a subtree counts once for each different page; only those in enough pages meet the sizes of the hosts
     seen = held.select("host", "page", F.explode(F.array_distinct(F.flatten("boxes"))).alias("box")).distinct()
-    often = seen.groupBy("host", "box").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_PAGES)
+    often = seen.groupBy("host", "box").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FEW_PAGES)
     sizes = read_.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    # at most (boxes of a page) / MIN_SHARE subtrees of a host are in so large a share of its pages
-    template = often.join(sizes, "host").where(F.col("n") >= MIN_SHARE * F.col("pages")).groupBy("host").agg(F.collect_list("box").alias("template"))
+    is_box = F.col("box").bitwiseAND(F.lit(1)) == 0
+    recurring = (F.col("n") >= MIN_PAGES) & (is_box | (F.col("n") >= MIN_SHARE * F.col("pages")))
+    found = often.join(sizes, "host").where(recurring | (F.col("n") >= MOST * F.col("pages"))).select("host", "box")
+    # a host may have any number of these: each page gets its own only
+    template = seen.join(found, ["host", "box"]).groupBy("host", "page").agg(F.collect_list("box").alias("template"))
     left = F.filter(F.arrays_zip("texts", "boxes"), lambda x: ~F.coalesce(F.arrays_overlap(x["boxes"], F.col("template")), F.lit(False)))
-    cleaned = held.join(template, "host", "left").select(
+    cleaned = held.join(template, ["host", "page"], "left").select(
         "page_id", "url", F.when(F.col("template").isNull(), whole).otherwise(F.array_join(F.transform(left, lambda x: x["texts"]), "\n")).alias("text")
     )
     return plain.unionByName(cleaned)

@@ -132,6 +132,16 @@ def test_recurring_boxes_go_and_copies_stay(spark):
     assert html_text.extracted(frame.limit(0)).count() == 0
 
 
+def test_template_does_not_depend_on_the_size_of_the_host(spark):
+    box, line, links = "<div>Read this next</div>", "<p>All rights belong to us</p>", "<ul><li>one<li>two</ul>"
+    rows = [(i, "https://a.org/", f"<article><p>Text {i}</p>{box if i < 12 else ''}{'<h2>Summary</h2>' if i < 11 else ''}{line}{links}</article>") for i in range(200)]
+    rows += [(300 + i, "https://b.org/", f"<body>{box}<p>Text {i}</p></body>") for i in range(6)]
+    rows += [(400 + i, "https://c.org/", f"<article><p>Text {i}</p><table><tr><td>Yes<td>{i}</table></article>") for i in range(20)]
+    texts = {r.page_id: r.text for r in html_text.extracted(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(texts[i] == (f"Text {i}\nSummary" if i < 11 else f"Text {i}") for i in range(200))
+    assert all(texts[300 + i] == f"Text {i}" for i in range(6)) and all(texts[400 + i] == f"Text {i}\nYes\n{i}" for i in range(20))
+
+
 def test_pipeline_keeps_clean_documents(spark, prose, tmp_path):
     item = prose(40, 1)
     texts = [prose(120, s) for s in range(10, 40)]
