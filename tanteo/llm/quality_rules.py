@@ -1,8 +1,8 @@
-"""Quality rules as a short-circuit cascade whose order comes from measured cost and rejections.
+"""Quality rules as a cascade whose order comes from measured cost and rejections.
 
 Only DataFrame functions run on the executors. ``measured`` adds the counts that the rules read, ``estimate`` times each rule
-on a bounded sample and counts what it rejects there, and ``judged`` tests the rules in the order of rejections per second:
-a row that one rule rejects is not tested by the rules behind it. The order decides the time only, never the verdict.
+on a bounded sample and counts what it rejects there, and ``judged`` tests the rules in the order of rejections per second. All
+counts are computed for every row; the order decides which rule is named in ``failed_rule``, neither the verdict nor the work.
 
 A null text has no words and is rejected. Repeated rows are judged one by one. Extra columns stay; columns of ``measured`` and
 ``judged`` replace columns of the same name. An empty table gives an empty table.
