@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tanteo.llm import (
-    best_fit_packing, decontamination, html_text, ngram_join, quality_rules, secrets, substring_dedup, token_output, toxicity, url_filters,
+    best_fit_packing, decontamination, html_text, ngram_join, phrases, quality_rules, secrets, substring_dedup, token_output, toxicity, url_filters,
 )
 from tanteo.llm import sql as oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op1_quality_rules": oracle.QUALITY_RULES, "op5_ngram_join": oracle.NGRAM_JOIN}
+ORACLES: dict[str, str] = {"op1_quality_rules": oracle.QUALITY_RULES, "op5_ngram_join": oracle.NGRAM_JOIN, "op11_phrases": oracle.PHRASES}
 
 URL_RULES = [
     ("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"),
@@ -127,6 +127,11 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return url_filters.judged(table(spark, folder, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+@query("op11_phrases")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.mined(table(spark, folder, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)

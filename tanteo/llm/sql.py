@@ -38,3 +38,28 @@ k AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT d.doc_id, c.class_id, coalesce(k.n, 0) AS n_links, t.n_copies
 FROM documents d JOIN t ON t.t = coalesce(d.text, '') JOIN c ON c.node = t.id LEFT JOIN k ON k.a = t.id
 """
+
+PHRASES = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang,
+                       unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+                FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+total AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang),
+f AS MATERIALIZED (
+  SELECT lang, parts, array_to_string(parts, ' ') AS phrase, count(*) AS a
+  FROM (SELECT lang, words[i : i + k - 1] AS parts
+        FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM w CROSS JOIN (VALUES (1), (2), (3), (4)) AS t(k)))
+  GROUP BY lang, parts HAVING count(*) >= 30),
+c AS (SELECT * FROM f WHERE len(parts) > 1),
+cuts AS (SELECT c.lang, c.phrase, c.a, k, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a) // (x.a + y.a) AS score
+         FROM (SELECT *, unnest(range(1, len(parts))) AS k FROM c) c
+         JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.parts[1 : k], ' ')
+         JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.parts[k + 1 :], ' ')),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_parts AS (SELECT lang, array_to_string(parts[i : i + k - 1], ' ') AS phrase, max(a) AS around
+                FROM (SELECT lang, parts, a, k, unnest(range(1, len(parts) - k + 2)) AS i FROM c, (VALUES (2), (3)) AS t(k) WHERE k < len(parts))
+                GROUP BY 1, 2),
+free AS (SELECT lowest.* FROM lowest LEFT JOIN inner_parts USING (lang, phrase) WHERE around IS NULL OR 100::HUGEINT * around < 80::HUGEINT * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM free JOIN total USING (lang) QUALIFY rank <= 2000
+"""
