@@ -41,16 +41,19 @@ SALTS = 64
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
 _KIND[[ord(c) for c in ".,;:!?"] + [0x0A, 0x0B, 0x0C, 0x0D]] = 2
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _WORDS = [f"w{i}" for i in range(1, LONGEST + 1)]
 
 
 def split_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
     """All words of all texts, the number of the piece of each (rising, never shared by two texts), and the text of each."""
-    lowered = pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string()))
-    bounds = np.frombuffer(lowered.buffers()[1], np.int64)[lowered.offset : lowered.offset + len(lowered) + 1]
-    if not len(lowered) or bounds[-1] == bounds[0]:
+    whole = pc.fill_null(texts, "").cast(pa.large_string())
+    bounds = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1] if len(whole) else np.zeros(1, np.int64)
+    if bounds[-1] == bounds[0]:
         return pa.array([], pa.large_string()).dictionary_encode(), np.empty(0, np.int64), np.empty(0, np.int64)
-    data = np.frombuffer(lowered.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+    data = np.frombuffer(whole.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+    data = _LOWER[data]
     bounds = bounds - bounds[0]
     kind = _KIND[data]
     inside = kind == 0

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tanteo.llm import (
-    best_fit_packing, decontamination, html_text, ngram_join, phrases, quality_rules, secrets, substring_dedup, token_output, toxicity, url_filters,
+    best_fit_packing, decontamination, html_text, ngram_join, phrases, quality_rules, secrets, simhash, substring_dedup, token_output, toxicity, url_filters,
 )
 from tanteo.llm import sql as oracle
 
@@ -132,6 +132,12 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.mined(table(spark, folder, "documents"))
 
 
+@query("op12_simhash")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.linked(table(spark, folder, "documents").select("doc_id", "text"), keep_text=False)
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)

@@ -81,3 +81,9 @@ def test_one_very_long_text_is_split_whole():
     text = "one two, " * 400_000
     found, piece, at = phrases.split_words(pa.array([None, text, ""]))
     assert len(found) == 800_000 and set(at.tolist()) == {1} and len(set(piece.tolist())) == 400_000
+
+
+def test_slices_of_a_batch_are_split_like_whole_batches():
+    texts = pa.array([t for _, t in corpus(7, 30)])
+    whole = phrases.split_words(texts)[0].to_pylist()
+    assert sum((phrases.split_words(texts.slice(at, 4))[0].to_pylist() for at in range(0, len(texts), 4)), []) == whole
