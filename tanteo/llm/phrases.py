@@ -19,6 +19,7 @@ Other columns are never read. One text is worked on whole in one task.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from tanteo.llm.text import chunks, mixed, words
 LONGEST, MIN_COUNT, LIMIT = 4, 30, 2000
 SCALE, COVERED = 2_000_000, 80
 #: Bytes of text whose windows are counted together inside a task.
-TOGETHER = 8 << 20
+TOGETHER = 4 << 20
 #: The most bits of the bitmap of frequent pairs (128 MB), and its bits for each of them.
 MAX_BITS, BITS_EACH = 1 << 30, 16
 #: First-round groups of the ranking, so that no task ranks a whole language.
@@ -148,21 +149,19 @@ def counts(docs: DataFrame, group: str = "lang", text: str = "text", min_count:
                 same = same.group_by(["g", *_WORDS], use_threads=False).aggregate([([], "count_all")])
                 names = part.column("lang").dictionary_encode().dictionary
                 spelled = found.cast(pa.string())
-                one = lambda ids: spelled.take(pc.if_else(pc.less(ids, 0), None, ids).combine_chunks())
-                columns = [names.take(same.column("g").combine_chunks()), *[one(same.column(w)) for w in _WORDS], same.column("count_all").combine_chunks()]
-                for slot in pa.table(dict(zip(["lang", *_WORDS, "n"], columns, strict=True))).to_batches(max_chunksize=1 << 16):
-                    yield slot
+                one = lambda ids: spelled.take(pc.if_else(pc.less(ids, 0), None, ids))
+                for slot in same.to_batches(max_chunksize=1 << 14):
+                    columns = [names.take(slot.column("g")), *[one(slot.column(w)) for w in _WORDS], slot.column("count_all")]
+                    yield pa.RecordBatch.from_arrays(columns, names=["lang", *_WORDS, "n"])
 
     windows = rows.mapInArrow(counted, f"lang string, {', '.join(f'{w} string' for w in _WORDS)}, n bigint")
-    # bits of grouping_id: columns that ROLLUP summed over; a null that it did not put there is padding
-    level = F.grouping_id()
-    summed = windows.rollup("lang", *_WORDS).agg(F.sum("n").alias("n"), level.alias("level"))
-    kept = None
-    for length in range(LONGEST + 1):
-        here = F.col("level") == (1 << (LONGEST - length)) - 1
-        here &= (F.col("n") >= min_count) & F.col(_WORDS[length - 1]).isNotNull() if length else F.lit(True)
-        kept = here if kept is None else kept | here
-    return stored(summed.where(kept).select("lang", *_WORDS, "n"))
+    # bits of grouping_id: columns that ROLLUP summed over; a null that it did not put there is padding, and its rows are dropped
+    # before they are summed
+    summed = windows.rollup("lang", *_WORDS).agg(F.sum("n").alias("n"), F.grouping_id().alias("level"))
+    level = [(F.col("level") == (1 << (LONGEST - length)) - 1) & (F.col(_WORDS[length - 1]).isNotNull() if length else F.lit(True)) for length in range(LONGEST + 1)]
+    kept = reduce(Column.__or__, level)
+    often = (F.col("n") >= min_count) | F.col("w1").isNull()
+    return stored(summed.where(kept).where(often).select("lang", *_WORDS, "n"))
 
 
 def _joined(parts: Column) -> Column:

@@ -13,12 +13,16 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tanteo.llm import (
-    best_fit_packing, decontamination, html_text, ngram_join, phrases, quality_rules, secrets, simhash, substring_dedup, token_output, toxicity, url_filters,
+    best_fit_packing, decontamination, html_text, ngram_join, phrases, quality_rules, secrets, simhash, spelling,
+    substring_dedup, token_output, toxicity, url_filters,
 )
 from tanteo.llm import sql as oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op1_quality_rules": oracle.QUALITY_RULES, "op5_ngram_join": oracle.NGRAM_JOIN, "op11_phrases": oracle.PHRASES}
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": oracle.QUALITY_RULES, "op5_ngram_join": oracle.NGRAM_JOIN, "op11_phrases": oracle.PHRASES,
+    "op13_spelling": oracle.SPELLING,
+}
 
 URL_RULES = [
     ("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"),
@@ -138,6 +142,11 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+@query("op13_spelling")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.grouped(spelling.misspelled(table(spark, folder, "documents"), every=31))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)

@@ -63,3 +63,25 @@ free AS (SELECT lowest.* FROM lowest LEFT JOIN inner_parts USING (lang, phrase)
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
 FROM free JOIN total USING (lang) QUALIFY rank <= 2000
 """
+
+SPELLING = r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+counted AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS s, run, count(*) AS c FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+hashed AS (SELECT run, c, xor(list_reduce([4294967295] || flatten(list_transform(string_split(s, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT]
+                    ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] END)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS h
+           FROM counted, crc),
+kept AS (SELECT CASE WHEN h % 31 = 0 THEN substring(run, 1, (h % length(run))::INT) || substring(run, (h % length(run))::INT + 2) ELSE run END AS word, c FROM hashed),
+w AS MATERIALIZED (SELECT word, sum(c)::BIGINT AS n FROM kept WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+cut AS (SELECT word, i, substring(word, 1, i::INT) || substring(word, i::INT + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM w)),
+longer AS (SELECT DISTINCT cut.word AS a, w.word AS b FROM cut JOIN w ON w.word = cut.rest),
+pairs AS (SELECT x.word AS a, y.word AS b FROM cut x JOIN cut y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+          UNION ALL SELECT a, b FROM longer UNION ALL SELECT b, a FROM longer),
+near AS (SELECT a, count(*) AS n_near FROM pairs GROUP BY a),
+forms AS MATERIALIZED (SELECT a, b AS form, y.n AS form_n FROM pairs JOIN w x ON x.word = a JOIN w y ON y.word = b WHERE y.n >= 10 * x.n
+          QUALIFY row_number() OVER (PARTITION BY a ORDER BY y.n DESC, b) = 1),
+chain AS (SELECT word, word AS root FROM w UNION ALL SELECT chain.word, form FROM chain JOIN forms ON forms.a = chain.root),
+roots AS (SELECT word, root FROM chain ANTI JOIN forms ON forms.a = chain.root)
+SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, form, form_n, root
+FROM w JOIN roots USING (word) LEFT JOIN near ON near.a = w.word LEFT JOIN forms ON forms.a = w.word
+"""
