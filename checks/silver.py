@@ -1,7 +1,8 @@
-"""Checked tables of the test league, built once per query."""
+"""Checked tables of the test league: stored once per application, read by every query."""
 
 from __future__ import annotations
 
+import hashlib
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,38 +10,55 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DateType, IntegerType, ShortType
 
 from tanteo.operators import players as player_ops
-from tanteo.operators import silver, standings
+from tanteo.operators import standings
 from tanteo.operators.scope import within_one_scope
-from tanteo.session import cut
+from tanteo.session import cut, scratch_dir
+from tanteo.sources.silver_store import SilverStore
 from tanteo.sources.star_league import SEASON_ID, StarLeague
 
 
+_STORES: dict[tuple[str, str], SilverStore] = {}
+
+
 class Silver(StarLeague):
     """Typed, checked tables over the test league."""
 
+    @cached_property
+    def store(self) -> SilverStore:
+        """The checked tables of this folder, built by the first query of an application that asks for them."""
+        key = (self.spark.sparkContext.applicationId, self.folder)
+        if key not in _STORES or not _STORES[key].is_built():
+            name = hashlib.md5("|".join(key).encode(), usedforsecurity=False).hexdigest()
+            _STORES[key] = SilverStore(self.spark, f"{scratch_dir(self.spark).rstrip('/')}/silver-{name}")
+            _STORES[key].build(self.raw)
+        return _STORES[key]
+
+    def checked(self, name: str) -> DataFrame:
+        return self.store.table(name, SEASON_ID)
+
     @cached_property
     def clubs(self) -> DataFrame:
-        return silver.normalize_clubs(self.clubes)
+        return self.checked("clubs")
 
     @cached_property
     def teams(self) -> DataFrame:
-        return silver.normalize_teams(self.equipos, self.clubs, SEASON_ID)
+        return self.checked("teams")
 
     @cached_property
     def cards(self) -> DataFrame:
-        return silver.team_cards(self.teams, self.clubs)
+        return self.checked("cards")
 
     @cached_property
     def players(self) -> DataFrame:
-        return silver.normalize_players(self.jugadores)
+        return self.checked("players")
 
     @cached_property
     def rosters(self) -> DataFrame:
-        return silver.normalize_rosters(self.planteles, self.players, self.teams)
+        return self.checked("rosters").drop("season_id")
 
     @cached_property
     def matches(self) -> DataFrame:
-        return silver.normalize_matches(self.partidos, self.teams, self.clubs)
+        return self.checked("matches").drop("season_id")
 
     @cached_property
     def scoped(self) -> DataFrame:
@@ -48,7 +66,7 @@ class Silver(StarLeague):
 
     @cached_property
     def lines(self) -> DataFrame:
-        return silver.normalize_participations(self.participaciones, self.players, self.teams, self.matches)
+        return self.checked("lines").drop("season_id")
 
     @cached_property
     def stats(self) -> DataFrame:

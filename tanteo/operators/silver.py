@@ -109,10 +109,10 @@ def team_cards(teams: DataFrame, clubs: DataFrame) -> DataFrame:
 
 def normalize_matches(raw: DataFrame, teams: DataFrame, clubs: DataFrame) -> DataFrame:
     """Matches whose two teams survived, with names, scopes, status and scores of finished ones."""
-    return match_team_club(_typed_matches(raw), team_cards(teams, clubs))
+    return match_team_club(typed_matches(raw), team_cards(teams, clubs))
 
 
-def _typed_matches(raw: DataFrame) -> DataFrame:
+def typed_matches(raw: DataFrame, *carried: Column) -> DataFrame:
     finished = labels.is_finished(_alias(raw, "estado"), _alias(raw, "goles_local"), _alias(raw, "goles_visitante"))
     jornada = _alias(raw, "jornada")
     return raw.select(
@@ -130,6 +130,7 @@ def _typed_matches(raw: DataFrame) -> DataFrame:
         _alias(raw, "planilla_url").alias("sheet_url"),
         _alias(raw, "video_url").alias("video_url"),
         field(raw, ["programacion_pdf_url", "programacion_url"]).alias("fixture_url"),
+        *carried,
     )
 
 

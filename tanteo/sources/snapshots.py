@@ -89,11 +89,12 @@ class SnapshotStore:
 
     def read(self, name: str, version: int | None = None) -> DataFrame:
         """The table as of ``version``, by default the newest. Only this version's files are listed."""
-        entry = self.manifest(version).tables[name]
+        return self.open(self.manifest(version).tables[name])
+
+    def open(self, entry: Entry) -> DataFrame:
         if entry.layout.buckets:
             return self.spark.table(self._registered(entry))
-        frame = self.spark.read.schema(StructType.fromJson(json.loads(entry.schema)))
-        return frame.parquet(*entry.paths)
+        return self.spark.read.schema(StructType.fromJson(json.loads(entry.schema))).parquet(*entry.paths)
 
     def _registered(self, entry: Entry) -> str:
         """Name of the catalog table for bucketed files: only the catalog knows about buckets. It is made again in a new session."""
@@ -122,26 +123,29 @@ class SnapshotStore:
         ``base`` is the version that the frames were computed from (default: the newest when the commit begins). A commit made
         since then is a ``Conflict``: the frames would undo it.
         """
-        app, number = run
         now = self.manifest(base)
         if self.is_applied(run):
             return Commit(self.versions()[-1], False)
-        entries = dict(now.tables)
-        for name, frame in tables.items():
-            entries[name] = self._written(name, frame, (layouts or {}).get(name, Layout()))
+        entries = {name: self.stage(name, frame, (layouts or {}).get(name, Layout())) for name, frame in tables.items()}
         for name, frame in (appended or {}).items():
-            new = self._written(name, frame, Layout())
-            old = entries.get(name, replace(new, paths=()))
+            new = self.stage(name, frame)
+            old = now.tables.get(name, replace(new, paths=()))
             if old.layout.buckets:
                 raise ValueError(f"{name} is bucketed: replace it")
             entries[name] = replace(old, paths=(*old.paths, *new.paths))
-        self._switch(Manifest(now.version + 1, entries, {**now.applied, app: number}))
+        return self.publish(run, entries, now)
+
+    def publish(self, run: tuple[str, int], entries: Mapping[str, Entry], now: Manifest | None = None) -> Commit:
+        """Switch to staged tables, all at once; tables that are not among them stay."""
+        now = now or self.manifest()
+        self._switch(Manifest(now.version + 1, {**now.tables, **entries}, {**now.applied, run[0]: run[1]}))
         return Commit(now.version + 1, True)
 
     def is_applied(self, run: tuple[str, int]) -> bool:
         return self.manifest().applied.get(run[0], -1) >= run[1]
 
-    def _written(self, name: str, frame: DataFrame, layout: Layout) -> Entry:
+    def stage(self, name: str, frame: DataFrame, layout: Layout = Layout()) -> Entry:
+        """Write a table that no reader sees before it is published."""
         path = f"{self.root}/{name}/{uuid.uuid4().hex}"
         writer = (frame.repartition(layout.buckets, *layout.bucket_by) if layout.buckets else frame).write
         if layout.partition_by:
