@@ -5,9 +5,10 @@ word begins one window: the word and its three followers inside the piece as fou
 piece's end. Only these windows are counted, inside the tasks first; Spark's ROLLUP over (group, word 1 .. word 4) then sums the
 shorter prefixes, which are all shorter phrases, and the words of a group. Nothing is exploded per phrase length.
 
-A phrase of ``min_count`` occurrences holds only pairs of that many. So pairs are hashed and their hashes counted first, and a
-window is padded from the first pair on whose hash is too rare. This bitmap takes 16 bits a frequent pair and ``MAX_BITS`` at
-most; beyond that it only pads less. Counts are exact at any size of it: a padded word cannot belong to a candidate.
+A phrase of ``min_count`` occurrences holds only pairs and triples of that many. So hashes of pairs are counted first, then those of
+triples of frequent pairs, and a window is padded from the first pair or triple on whose hash is too rare. These bitmaps take 16 bits
+a frequent hash and ``MAX_BITS`` at most; beyond that they only pad less. Counts are exact at any size of them: a padded word
+cannot belong to a candidate.
 
 Result of ``mined``: a row per phrase among the first ``limit`` of its group with ``rank``, ``phrase``, ``a`` (occurrences), ``l``
 and ``r`` (those of both parts at its lowest-scoring cut), ``n`` (words of the group) and ``score``. Null texts are empty, a null
@@ -24,6 +25,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -100,21 +102,44 @@ def hash_of(name: str) -> int:
     return int(words(pa.array([f"g{name.encode().hex()}"]))[0][0])
 
 
-def _frequent(rows: DataFrame, min_count: int) -> np.ndarray:
-    """A bitmap of the hashes of all pairs with ``min_count`` occurrences (and of those that share a bit with one)."""
+def _short(hashed: np.ndarray) -> np.ndarray:
+    """40 bits of a hash: what is counted and looked up."""
+    return hashed >> np.uint64(24)
+
+
+def _found(bitmap: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """Whether the bitmap has the hashes; those that are 0 stand for nothing and are not found."""
+    place = _short(hashed) & np.uint64(len(bitmap) * 8 - 1)
+    return (bitmap[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool) & (hashed > 0)
+
+
+def _triples(pair: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """A hash of the window's first triple, 0 where one of its pairs is not frequent."""
+    out = np.zeros(len(pair), np.uint64)
+    at = np.flatnonzero(frequent[:-1] & frequent[1:])
+    out[at] = mixed(pair[at] * np.uint64(0x9E3779B97F4A7C15) + pair[at + 1]) | np.uint64(1)
+    return out
+
+
+def _frequent(rows: DataFrame, min_count: int, pairs: Broadcast | None = None) -> np.ndarray:
+    """A bitmap of the hashes of all pairs (with ``pairs``, their bitmap: of all triples) with ``min_count`` occurrences, and of those
+    that share a bit with one."""
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, limit=TOGETHER):
-                pair = _windows(part.column("text"), part.column("lang"))[3]
-                found, n = np.unique(pair[pair > 0], return_counts=True)
-                yield pa.RecordBatch.from_pydict({"pair": pa.array(found.view(np.int64)), "n": pa.array(n.astype(np.int64))})
-
-    often = stored(rows.mapInArrow(counted, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count).select("pair"))
-    bits = 1 << 15
-    while bits < MAX_BITS and bits < BITS_EACH * often.count():
+                hashed = _windows(part.column("text"), part.column("lang"))[3]
+                if pairs is not None:
+                    hashed = _triples(hashed, _found(pairs.value, hashed))
+                found, n = np.unique(_short(hashed[hashed > 0]), return_counts=True)
+                yield pa.RecordBatch.from_pydict({"hash": pa.array(found.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+    often = stored(rows.mapInArrow(counted, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count).select("hash"))
+    bits, wanted = 1 << 15, BITS_EACH * often.count()
+    while bits < min(wanted, MAX_BITS):
         bits *= 2
-    # 32,768 bits a row: the driver gets the bitmap, never the pairs
-    place = (F.shiftrightunsigned("pair", 1).bitwiseAND(F.lit(bits - 1))).alias("place")
+    # 32,768 bits a row: the driver gets the bitmap, never the hashes
+    place = F.col("hash").bitwiseAND(F.lit(bits - 1)).alias("place")
     parts = often.select(place).groupBy(F.shiftright("place", 15).alias("row")).agg(
         F.bitmap_construct_agg(F.col("place").bitwiseAND(F.lit(32767))).alias("bitmap"))
     out = np.zeros((bits >> 15, 4096), np.uint8)
@@ -128,22 +153,18 @@ def counts(docs: DataFrame, group: str = "lang", text: str = "text", min_count:
     (all four null)."""
     spark: SparkSession = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(f"`{group}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text}`").alias("text"))
-    bitmap = spark.sparkContext.broadcast(_frequent(rows, min_count))
+    pairs = spark.sparkContext.broadcast(_frequent(rows, min_count))
+    triples = spark.sparkContext.broadcast(_frequent(rows, min_count, pairs))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = bitmap.value
-        mask = np.uint64(len(frequent) * 8 - 1)
         for batch in batches:
             for part in chunks(batch, limit=TOGETHER):
                 found, lead, at, pair = _windows(part.column("text"), part.column("lang"))
                 if not len(lead):
                     continue
-                place = (pair >> np.uint64(1)) & mask
-                often = (frequent[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool) & (pair > 0)
-                often = np.concatenate((often, np.zeros(LONGEST, bool)))
-                on = np.ones(len(lead), bool)
-                for k in range(1, LONGEST):
-                    on &= often[k - 1 : k - 1 + len(lead)]
+                two = _found(pairs.value, pair)
+                three = np.append(_found(triples.value, _triples(pair, two)), False)
+                for k, on in enumerate((two, three[:-1], three[:-1] & three[1:]), 1):
                     lead[~on, k] = -1
                 same = pa.table({"g": at, **{w: lead[:, k] for k, w in enumerate(_WORDS)}})
                 same = same.group_by(["g", *_WORDS], use_threads=False).aggregate([([], "count_all")])

@@ -60,7 +60,7 @@ def test_a_small_bitmap_changes_nothing(spark, monkeypatch):
     rows = corpus(4, 60)
     frame = spark.createDataFrame(rows, "lang string, text string")
     monkeypatch.setattr(phrases, "MAX_BITS", 1 << 15)
-    monkeypatch.setattr(phrases, "_frequent", lambda rows, n: np.full(4096, 255, np.uint8))
+    monkeypatch.setattr(phrases, "_frequent", lambda rows, n, pairs=None: np.full(4096, 255, np.uint8))
     assert {tuple(r) for r in phrases.mined(frame, min_count=6).collect()} == plain(rows, 6, 2000)
 
 
