@@ -117,8 +117,12 @@ _VERDICT = f"""(SELECT batch_id, CASE WHEN not_array AND NOT is_empty THEN 0 WHE
 _OK = f"(SELECT batch_id FROM {_VERDICT} WHERE invalidos = 0 AND duplicate_payload_groups = 0 AND ambiguous_schedule_pairs = 0)"
 
 
+#: The most fixtures that the stored procedure takes at once.
+BATCH_LIMIT = 200
+
+
 def _preflight(s):
-    return fixture_import.preflight(s.lotes, s.temporadas, s.equipos)
+    return fixture_import.preflight(s.lotes, s.temporadas, s.equipos, BATCH_LIMIT)
 
 
 @query(

@@ -12,7 +12,7 @@ from tanteo.operators.quality import SOURCE_TYPES
 from tanteo.operators.ranking import ranked
 from tanteo.schemas import PARTIDOS
 from tanteo.session import cut
-from tanteo.sources.payload import MAX_BATCH_ROWS, batch_sizes, fixture_rows
+from tanteo.sources.payload import batch_sizes, fixture_rows
 
 PAIR = ("temporada_id", "local_equipo_id", "visitante_equipo_id")
 # Review kinds and their notes.
@@ -89,8 +89,11 @@ def preflight_errors(checked: DataFrame) -> DataFrame:
     )
 
 
-def preflight_batches(batches: DataFrame, checked: DataFrame) -> DataFrame:
-    """Verdict per batch: size guards, broken rows, repeated rows and match-ups with two schedules."""
+def preflight_batches(batches: DataFrame, checked: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Verdict per batch: size guards, broken rows, repeated rows and match-ups with two schedules.
+
+    ``max_rows`` is the size that the receiving side allows for one batch; None allows any.
+    """
     time = F.coalesce(F.col("hora"), F.lit("00:00:00"))
     same_row = checked.groupBy("batch_id", *PAIR, "fecha", time.alias("time"), "tipo_fuente").agg(
         F.count("*").alias("n"), F.count("error").alias("broken")
@@ -109,8 +112,9 @@ def preflight_batches(batches: DataFrame, checked: DataFrame) -> DataFrame:
     guard = (
         F.when(total.isNull(), "p_partidos debe ser un array JSON")
         .when(total == 0, "lote vacío")
-        .when(total > MAX_BATCH_ROWS, f"lote excede {MAX_BATCH_ROWS} partidos")
     )
+    if max_rows is not None:
+        guard = guard.when(total > max_rows, f"lote excede {max_rows} partidos")
     broken = F.coalesce(F.col("broken"), F.lit(0))
 
     def when_rows_valid(column: str) -> Column:
@@ -134,11 +138,15 @@ def preflight_batches(batches: DataFrame, checked: DataFrame) -> DataFrame:
     return verdict.withColumn("ok", clean)
 
 
-def preflight(batches: DataFrame, temporadas: DataFrame, equipos: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Verdict per batch and the checked rows of the batches of admissible size."""
-    sized = batches.where(F.json_array_length("payload").between(1, MAX_BATCH_ROWS))
-    checked = preflight_rows(fixture_rows(sized), temporadas, equipos)
-    return preflight_batches(batches, checked), checked
+def preflight(
+    batches: DataFrame, temporadas: DataFrame, equipos: DataFrame, max_rows: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Verdict per batch and all checked rows, those of batches that are too large as well.
+
+    The checked rows are written once: the verdicts, the error report and the gate all read them.
+    """
+    checked = cut(preflight_rows(fixture_rows(batches), temporadas, equipos))
+    return preflight_batches(batches, checked, max_rows), checked
 
 
 def gate(checked: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -335,7 +343,8 @@ def import_batches(
     queue: DataFrame,
     run_at: str,
     source: str = "la federación",
+    max_rows: int | None = None,
 ) -> tuple[DataFrame, SyncResult]:
     """Preflight, gate and sync; returns the verdicts and what the accepted batches produced."""
-    verdicts, checked = preflight(batches, temporadas, equipos)
+    verdicts, checked = preflight(batches, temporadas, equipos, max_rows)
     return verdicts, sync_matches(gate(checked, verdicts), partidos, queue, run_at, source)

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from tanteo.functions.dates import clock, iso_date
 from tanteo.functions.text import null_if_blank
 
-MAX_BATCH_ROWS = 200
-
 # Keys of a published fixture; every value is read as text and cast afterwards.
 PAYLOAD_KEYS = (
     "temporada_id", "competencia_id", "fecha", "hora", "jornada", "local_equipo_id", "visitante_equipo_id",

@@ -126,7 +126,10 @@ def test_first_broken_rule_of_each_row(frame, base):
 def test_batch_verdicts(frame, base):
     moved = {"fecha": "2026-09-06"}
     frames = batches(frame, [{}], [], "{}", "no json", [{}] * 201, [{}, {}], [{}, moved], [{}, {"tipo_fuente": "reprogramacion"}], None)
-    rows = sync.preflight(frames, base["temporadas"], base["equipos"])[0].orderBy("batch_id").collect()
+    verdicts, checked = sync.preflight(frames, base["temporadas"], base["equipos"], 200)
+    assert checked.where("batch_id = 4").count() == 201
+    assert sync.preflight(frames, base["temporadas"], base["equipos"])[0].where("batch_id = 4").first().error is None
+    rows = verdicts.orderBy("batch_id").collect()
     assert [r.ok for r in rows] == [True, False, False, False, False, False, False, True, False]
     assert [r.error for r in rows][1:5] == [
         "lote vacío", "p_partidos debe ser un array JSON", "p_partidos debe ser un array JSON", "lote excede 200 partidos",
