@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.league_sql import norm, rank_of, ratio, safe_url
 from checks.registry import query
-from tanteo.operators import calendar, directory, scope
+from tanteo.operators import calendar, directory, scope, search
 from tanteo.plans.reports import matches_report
 from tanteo.sources.star_league import TODAY
 
@@ -229,21 +229,35 @@ def team_switcher_order(s):
     return directory.team_switcher(s.teams).select("club_id", "team_id", "team_code", "pos")
 
 
+_FOUND = f"""SELECT term, type, id, team_id, name, context, rank::BIGINT AS rank, pos FROM (SELECT *, row_number() OVER (PARTITION BY term
+    ORDER BY rank, {norm('name')}, type, id, team_id NULLS FIRST) pos FROM (
+      SELECT *, CASE WHEN normalized = term THEN 0 WHEN starts_with(normalized, term) THEN 1 ELSE 2 END AS rank
+      FROM s_index, (SELECT DISTINCT {norm('term')} AS term FROM TERMS) WHERE term <> '' AND contains(normalized, term))) WHERE pos <= 12"""
 _TERMS = ("atlético 12 norte", "perez 77", "union", "Norte · Juniors", "sin resultado posible")
-_TERM_LIST = "[" + ", ".join(f"'{t}'" for t in ("atletico 12 norte", "perez 77", "union", "norte · juniors", "sin resultado posible")) + "]"
+_TERM_LIST = "(SELECT unnest([" + ", ".join(f"'{t}'" for t in _TERMS) + "]) AS term)"
+# A term per customer: names whole and in part, contexts, one and two letters, and some that nothing has.
+_CUSTOMER_TERMS = """(SELECT CASE c_custkey % 6 WHEN 0 THEN 'PÉREZ ' || c_custkey WHEN 1 THEN 'rez ' || (c_custkey * 7 % 1000) || ' ' WHEN 2 THEN ' ' || (c_custkey // 4) || ' Norte'
+    WHEN 3 THEN substr(c_name, c_custkey % 9 + 1, 4) WHEN 4 THEN substr('abcdefghijklmnopqrstuvwxyz', c_custkey % 25 + 1, c_custkey % 2 + 1)
+    ELSE 'Norte · Juniors · ' || c_custkey END AS term FROM customer)"""
+_ANSWER = ("term", "type", "id", "team_id", "name", "context", "rank", "pos")
 
 
-@query(
-    "top_k_search",
-    f"""SELECT term, type, id, team_id, name, context, rank::BIGINT AS rank, pos FROM (SELECT *, row_number() OVER (PARTITION BY term
-    ORDER BY rank, {norm('name')}, type, id, team_id NULLS FIRST) pos FROM (
-      SELECT *, CASE WHEN normalized = term THEN 0 WHEN starts_with(normalized, term) THEN 1 ELSE 2 END AS rank
-      FROM s_index, (SELECT unnest({_TERM_LIST}) AS term) WHERE contains(normalized, term))) WHERE pos <= 12""",
-)
+@query("top_k_search", _FOUND.replace("TERMS", _TERM_LIST))
 def top_k_search(s):
-    index = directory.search_index(s.clubs, s.players, s.rosters, s.cards)
-    found = directory.top_k_search(index, _TERMS)
-    return found.select("term", "type", "id", "team_id", "name", "context", "rank", "pos")
+    terms = s.spark.createDataFrame([(t,) for t in _TERMS], "term string")
+    return search.search(s.indexed, terms).select(*_ANSWER)
+
+
+@query("top_k_search_terms", _FOUND.replace("TERMS", _CUSTOMER_TERMS))
+def top_k_search_terms(s):
+    """As many terms as there are customers."""
+    terms = s.table("customer").selectExpr(
+        "CASE c_custkey % 6 WHEN 0 THEN concat('PÉREZ ', c_custkey) WHEN 1 THEN concat('rez ', c_custkey * 7 % 1000, ' ') "
+        "WHEN 2 THEN concat(' ', c_custkey div 4, ' Norte') WHEN 3 THEN substr(c_name, c_custkey % 9 + 1, 4) "
+        "WHEN 4 THEN substr('abcdefghijklmnopqrstuvwxyz', c_custkey % 25 + 1, c_custkey % 2 + 1) "
+        "ELSE concat('Norte · Juniors · ', c_custkey) END AS term"
+    )
+    return search.search(s.indexed, terms).select(*_ANSWER)
 
 
 # Requests derived from the events: a player, sometimes a team, the top division being what is on screen.

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DateType, IntegerType, ShortType
 
 from tanteo.operators import players as player_ops
-from tanteo.operators import standings
+from tanteo.operators import directory, search, standings
 from tanteo.operators.scope import within_one_scope
 from tanteo.session import cut, scratch_dir
 from tanteo.sources.silver_store import SilverStore
+from tanteo.sources.snapshots import SnapshotStore
 from tanteo.sources.star_league import SEASON_ID, StarLeague
 
 
@@ -33,6 +34,13 @@ class Silver(StarLeague):
             _STORES[key].build(self.raw)
         return _STORES[key]
 
+    @cached_property
+    def indexed(self) -> SnapshotStore:
+        """The store with the search index, built by the first search of an application."""
+        store = self.store.snapshots
+        search.build(store, directory.search_index(self.clubs, self.players, self.rosters, self.cards))
+        return store
+
     def checked(self, name: str) -> DataFrame:
         return self.store.table(name, SEASON_ID)
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import pytest
 
-from tanteo.operators import directory, players, scope, silver, standings
+from tanteo.operators import directory, players, scope, search, silver, standings
 from tanteo.sources import tables
+from tanteo.sources.snapshots import SnapshotStore
 from tests.league import raw_tables
 
 
@@ -108,9 +109,11 @@ def test_match_scope_and_its_lines(frame):
     assert ids(silver.participations_in_matches(lines, kept), "id") == [2, 6]
 
 
-def test_search(league):
-    index = directory.search_index(league.clubs, league.players, league.rosters, league.cards)
-    found = directory.top_k_search(index, ["molino azul", "QUILLFEDER"]).orderBy("term", "pos").collect()
+def test_search(league, spark, tmp_path):
+    store = SnapshotStore(spark, f"file://{tmp_path}/index")
+    search.build(store, directory.search_index(league.clubs, league.players, league.rosters, league.cards), buckets=2)
+    terms = spark.createDataFrame([("molino azul",), ("QUILLFEDER",), ("Quillféder ",)], "term string")
+    found = search.search(store, terms).orderBy("term", "pos").collect()
     assert [(r.term, r.type, r.id, r.team_id, r["rank"]) for r in found] == [
         ("molino azul", "club", 6, None, 0),
         ("molino azul", "player", 73, 43, 2),
