@@ -43,18 +43,22 @@ def count_exact(s):
     return tables.count_exact(s.table("lineitem"))
 
 
+_SEASON_MATCHES = f"""(SELECT * FROM r_defectos WHERE temporada_id = {SEASON_ID} AND local_equipo_id IN (SELECT id FROM r_equipos)
+    AND visitante_equipo_id IN (SELECT id FROM r_equipos))"""
+
+
 @query(
     "season_dataset",
-    """SELECT 'clubes' AS name, count(DISTINCT club_id) AS rows FROM r_equipos UNION ALL SELECT 'equipos', count(*) FROM r_equipos
-    UNION ALL SELECT 'planteles', count(*) FROM r_planteles UNION ALL SELECT 'partidos', count(*) FROM r_partidos
-    UNION ALL SELECT 'participaciones', count(*) FROM r_participaciones
-    UNION ALL SELECT 'jugadores', count(*) FROM r_jugadores WHERE id IN (SELECT jugador_id FROM r_planteles)""",
+    f"""SELECT 'clubes' AS name, id FROM r_clubes WHERE id IN (SELECT club_id FROM r_equipos) UNION ALL SELECT 'equipos', id FROM r_equipos
+    UNION ALL SELECT 'planteles', id FROM r_planteles UNION ALL SELECT 'partidos', id FROM {_SEASON_MATCHES} UNION ALL
+    SELECT 'participaciones', id FROM (SELECT *, CASE WHEN id % 3 = 0 THEN equipo_id + 1 ELSE equipo_id END team FROM r_participaciones) l
+    WHERE EXISTS (SELECT 1 FROM {_SEASON_MATCHES} m WHERE m.id = l.partido_id AND team IN (m.local_equipo_id, m.visitante_equipo_id))
+    UNION ALL SELECT 'jugadores', id FROM r_jugadores WHERE id IN (SELECT jugador_id FROM r_planteles)""",
 )
 def season_dataset(s):
-    frames = [
-        df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows")
-        for name, df in tables.season_dataset(s.raw, SEASON_ID).items()
-    ]
+    """Matches of other seasons, of unknown teams, and lines of teams that did not play are among the raw rows."""
+    raw = {**s.raw, "partidos": s.partidos_defectuosos, "participaciones": s.participaciones_ajenas}
+    frames = [df.select(F.lit(name).alias("name"), "id") for name, df in tables.season_dataset(raw, SEASON_ID).items()]
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
@@ -172,12 +176,14 @@ def normalize_participations(s):
     return silver.normalize_participations(s.participaciones, s.players, teams, matches)
 
 
-@query("participations_in_matches", f"SELECT * FROM ({_LINES}) WHERE team_id % 3 = 0")
+@query(
+    "participations_in_matches",
+    _LINES.replace("FROM s_lines l", "FROM (SELECT * REPLACE (CASE WHEN line_id % 3 = 0 THEN team_id + 1 ELSE team_id END AS team_id) FROM s_lines) l"),
+)
 def participations_in_matches(s):
-    """Lines of the other teams do not enter even when their match is kept."""
+    """Lines of teams that did not play do not enter even when their match is kept."""
     matches = matches_in_scope(s.matches, active_teams(s.teams))
-    lines = silver.typed_participations(s.participaciones).where("team_id % 3 = 0")
-    return silver.participations_in_matches(lines, matches)
+    return silver.participations_in_matches(silver.typed_participations(s.participaciones_ajenas), matches)
 
 
 @query(

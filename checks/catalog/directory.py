@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from checks.league_sql import norm, rank_of, ratio, safe_url
 from checks.registry import query
-from tanteo.operators import calendar, directory, scope, search
+from tanteo.operators import calendar, directory, scope, search, silver
 from tanteo.plans.reports import matches_report
-from tanteo.sources.star_league import TODAY
+from tanteo.sources.star_league import SEASON_ID, TODAY
 
 CATEGORY, DIVISION, BRANCH = "Mayores", "LHC Hipotecario Seguros", "M"
 IN_SCOPE = f"category = '{CATEGORY}' AND division = '{DIVISION}' AND branch = '{BRANCH}'"
@@ -39,19 +39,12 @@ def top_division_teams(s):
 
 @query(
     "top_division_fallback",
-    """SELECT team_id, branch, division FROM s_cards WHERE category = 'Mayores' AND branch = 'M' AND division LIKE 'LHC %'
-    UNION ALL SELECT team_id, 'F', 'Liga de Honor B' FROM s_cards WHERE category = 'Juveniles'""",
+    """SELECT team_id, branch, CASE branch WHEN 'F' THEN 'Liga de Honor B' ELSE division END division FROM s_top_teams""",
 )
 def top_division_fallback(s):
     """Without any top-division women's team, the women's other honour divisions stand in."""
-    men = s.teams.where("not (branch = 'F' and category = 'Mayores')")
-    youths = men.withColumns(
-        {
-            "branch": F.expr("if(category = 'Juveniles', 'F', branch)"),
-            "division": F.expr("if(category = 'Juveniles', 'Liga de Honor B', division)"),
-        }
-    ).withColumn("category", F.expr("if(category = 'Juveniles', 'MAYORES', category)"))
-    return scope.top_division_teams(youths).select("team_id", "branch", "division")
+    teams = silver.normalize_teams(s.equipos_sin_lhd, s.clubs, SEASON_ID)
+    return scope.top_division_teams(teams).select("team_id", "branch", "division")
 
 
 @query(

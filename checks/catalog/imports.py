@@ -148,8 +148,9 @@ def sync_gate(s):
     return fixture_import.gate(checked, verdicts).select("batch_id", "idx")
 
 
-# Stored matches: every second order, so that the load inserts, refreshes, reschedules and reviews.
-_STORED = "(SELECT * FROM r_partidos WHERE id % 2 = 0)"
+# Stored matches: every second one the other way round, so that the load inserts, refreshes, reschedules and reviews.
+_STORED = """(SELECT * REPLACE (CASE WHEN id % 2 = 0 THEN local_equipo_id ELSE visitante_equipo_id END AS local_equipo_id,
+    CASE WHEN id % 2 = 0 THEN visitante_equipo_id ELSE local_equipo_id END AS visitante_equipo_id) FROM r_partidos)"""
 _DECISIONS = f"""(SELECT *, CASE WHEN stored > 1 THEN 'revision' WHEN stored IS NULL AND turn = 1 THEN 'insertado'
     WHEN odate IS NOT DISTINCT FROM cur_fecha AND hora IS NOT DISTINCT FROM cur_hora THEN 'ya_existente' WHEN movable THEN 'reprogramado'
     ELSE 'revision' END accion FROM (SELECT *, CASE WHEN movable AND turn > 1 THEN prev_fecha WHEN stored = 1 THEN old_fecha END cur_fecha,
@@ -166,23 +167,19 @@ def _accepted(s):
     return fixture_import.gate(checked, verdicts)
 
 
-def _stored(s):
-    return s.partidos.where("id % 2 = 0")
-
-
 def _queue(s):
-    """Review queue before the load: an old entry for every 97th match."""
+    """Review queue before the load: an old entry for the schedule of every match."""
     mark = F.expr(
         "md5(concat_ws('|', 'partido_cruce_ambiguo', temporada_id, local_equipo_id, visitante_equipo_id, fecha, hora))"
     )
-    return s.partidos.where("id % 97 = 0").groupBy(mark.alias("fingerprint")).agg(F.min("id").alias("id")).selectExpr(
+    return s.partidos.groupBy(mark.alias("fingerprint")).agg(F.min("id").alias("id")).selectExpr(
         "fingerprint", "'partido_cruce_ambiguo' AS tipo", "'vieja' AS fuente_url", "'vieja' AS fuente_pdf_url",
         "'{}' AS payload", "'resuelto' AS estado", "cast(id as string) AS observaciones",
     )
 
 
 def _sync(s):
-    return fixture_import.sync_matches(_accepted(s), _stored(s), _queue(s), star.RUN_AT)
+    return fixture_import.sync_matches(_accepted(s), s.partidos_previos, _queue(s), star.RUN_AT)
 
 
 @query(
@@ -190,7 +187,7 @@ def _sync(s):
     f"""SELECT batch_id, idx, turn, accion, coalesce(stored, 0) stored, cur_fecha::VARCHAR fecha_anterior, cur_hora hora_anterior FROM {_DECISIONS}""",
 )
 def sync_matches(s):
-    decisions = fixture_import.sync_decisions(_accepted(s), _stored(s))
+    decisions = fixture_import.sync_decisions(_accepted(s), s.partidos_previos)
     return decisions.select("batch_id", "idx", "turn", "accion", "stored", "fecha_anterior", "hora_anterior")
 
 
@@ -201,7 +198,7 @@ def sync_matches(s):
     FROM {_DECISIONS} GROUP BY 1""",
 )
 def sync_counters(s):
-    return fixture_import.sync_counters(fixture_import.sync_decisions(_accepted(s), _stored(s)))
+    return fixture_import.sync_counters(fixture_import.sync_decisions(_accepted(s), s.partidos_previos))
 
 
 _PAIRS = f"""(SELECT local_id, away, arg_max(odate, turn) fecha, max({{'t': turn, 'h': hora, 'u': match_key, 'k': tipo_fuente}}) last, arg_max(jornada, turn) jornada,
@@ -232,7 +229,7 @@ def sync_matches_table(s):
 _REVIEWS = f"""(SELECT md5(concat_ws('|', tipo, 3, local_id, away, odate, hora)) fingerprint, * FROM (
     SELECT *, CASE WHEN stored > 1 THEN 'partido_cruce_ambiguo' ELSE 'partido_finalizado_fecha_distinta' END tipo FROM {_DECISIONS} WHERE accion = 'revision'))"""
 _OLD_QUEUE = """(SELECT md5(concat_ws('|', 'partido_cruce_ambiguo', temporada_id, local_equipo_id, visitante_equipo_id, fecha, hora)) fingerprint,
-    min(id)::VARCHAR observaciones FROM r_partidos WHERE id % 97 = 0 GROUP BY 1)"""
+    min(id)::VARCHAR observaciones FROM r_partidos GROUP BY 1)"""
 
 
 @query(

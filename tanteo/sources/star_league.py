@@ -219,6 +219,29 @@ class StarLeague:
             )
         )
 
+    @cached_property
+    def participaciones_ajenas(self) -> DataFrame:
+        """Player lines of which every third names another team, which nearly always did not play."""
+        return self.participaciones.withColumn("equipo_id", F.expr("if(id % 3 = 0, equipo_id + 1, equipo_id)"))
+
+    @cached_property
+    def partidos_sin_jugar(self) -> DataFrame:
+        """Matches before every seventh club has played: those of its teams have no score yet."""
+        idle = "(local_equipo_id div 4 % 7 = 0 OR visitante_equipo_id div 4 % 7 = 0)"
+        return self.partidos.withColumns({c: F.expr(f"if({idle}, NULL, {c})") for c in ("goles_local", "goles_visitante")})
+
+    @cached_property
+    def partidos_previos(self) -> DataFrame:
+        """Matches as stored before an import: of every second one the sides are the other way round, so that the published
+        match-up is new."""
+        turned = {"local_equipo_id": "visitante_equipo_id", "visitante_equipo_id": "local_equipo_id"}
+        return self.partidos.withColumns({own: F.expr(f"if(id % 2 = 0, {own}, {other})") for own, other in turned.items()})
+
+    @cached_property
+    def equipos_sin_lhd(self) -> DataFrame:
+        """Teams of a federation without a women's top division: it goes by another honour division's name."""
+        return self.equipos.withColumn("division", F.expr("if(rama = 'F' AND division LIKE 'LHD%', 'Liga de Honor B', division)"))
+
     @property
     def raw(self) -> dict[str, DataFrame]:
         names = ("clubes", "equipos", "jugadores", "planteles", "partidos", "participaciones")
@@ -348,8 +371,8 @@ class StarLeague:
 
     @cached_property
     def ajustes(self) -> DataFrame:
-        """Point adjustments of every ninth team, some of them invalid."""
-        return self.table("customer").where("c_custkey % 9 = 0").selectExpr(
+        """A point adjustment for every team, some of them invalid."""
+        return self.table("customer").selectExpr(
             f"if(c_custkey % 45 <> 0, c_custkey, c_custkey + {self.team_count}) AS team_id",
             f"if(c_custkey % 63 = 0, 2L, {SEASON_ID}L) AS season_id",
             f"if(c_custkey % 81 <> 0, {COMPETITION_ID}L, NULL) AS competition_id",
