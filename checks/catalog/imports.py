@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.league_sql import key, pick, time_of
 from checks.registry import query
-from tanteo.plans import fixture_import, publications, team_sync
+from tanteo.plans import fixture_import, import_job, publications, team_sync
+from tanteo.session import scratch_dir
 from tanteo.sources import star_league as star
 from tanteo.sources.payload import fixture_rows
+from tanteo.sources.snapshots import SnapshotStore
+from tanteo.streaming.fixture_feed import start_feed
 
 # --- publications ------------------------------------------------------------------------------------------------
 
@@ -207,25 +212,60 @@ _PAIRS = f"""(SELECT local_id, away, arg_max(odate, turn) fecha, max({{'t': turn
 _MOVED_NOTE = "'Reprogramado automáticamente desde la federación. Fecha anterior: ' || moved.f || ' ' || coalesce(moved.h[1:5], 'sin hora')"
 
 
-@query(
-    "sync_matches_table",
-    f"""WITH pairs AS {_PAIRS} SELECT id, local_equipo_id, visitante_equipo_id, coalesce(p.fecha, m.fecha)::VARCHAR fecha,
+_MATCHES_AFTER = f"""WITH pairs AS {_PAIRS} SELECT id, local_equipo_id, visitante_equipo_id, coalesce(p.fecha, m.fecha)::VARCHAR fecha,
     CASE WHEN p.fecha IS NULL THEN hora ELSE last.h END hora, coalesce(p.jornada, m.jornada) jornada, estado, goles_local,
     coalesce({_MOVED_NOTE}, observaciones) observaciones, coalesce('https://liga.example/n/' || last.u, programacion_url) programacion_url,
     coalesce(last.k, tipo_fuente) tipo_fuente, strftime(CASE WHEN p.fecha IS NULL THEN TIMESTAMP '1999-01-01' ELSE TIMESTAMP '{star.RUN_AT}' END, '%Y-%m-%d %H:%M:%S') updated_at
     FROM {_STORED} m LEFT JOIN pairs p ON born IS NULL AND local_id = local_equipo_id AND away = visitante_equipo_id
     UNION ALL SELECT (SELECT max(id) FROM {_STORED}) + row_number() OVER (ORDER BY born.b, born.i), local_id, away, fecha::VARCHAR, last.h, jornada, 'programado', NULL,
     coalesce({_MOVED_NOTE}, 'Importado automáticamente desde programación oficial de la federación'), 'https://liga.example/n/' || last.u, last.k,
-    '{star.RUN_AT}' FROM pairs WHERE born IS NOT NULL""",
-)
-def sync_matches_table(s):
-    table = _sync(s).matches
+    '{star.RUN_AT}' FROM pairs WHERE born IS NOT NULL"""
+
+
+def _matches_after(table):
     return table.select(
         "id", "local_equipo_id", "visitante_equipo_id", "fecha", "hora", "jornada", "estado", "goles_local",
         "observaciones", "programacion_url", "tipo_fuente", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"),
     )
 
 
+@query("sync_matches_table", _MATCHES_AFTER)
+def sync_matches_table(s):
+    return _matches_after(_sync(s).matches)
+
+
+def _fed(s):
+    """A store whose league has taken all batches from the feed's folder."""
+    root = f"{scratch_dir(s.spark).rstrip('/')}/feed-{uuid.uuid4().hex}"
+    store = SnapshotStore(s.spark, f"{root}/store")
+    league = {"temporadas": s.temporadas, "equipos": s.equipos, "partidos": s.partidos_previos, "import_revision": _queue(s)}
+    import_job.open_league(store, league)
+    s.lotes.write.json(f"{root}/feed")
+    start_feed(store, f"{root}/feed", f"{root}/checkpoint", star.RUN_AT, BATCH_LIMIT).awaitTermination()
+    return store
+
+
+@query("feed_matches_table", _MATCHES_AFTER)
+def feed_matches_table(s):
+    """The stream leaves the matches that one load leaves."""
+    return _matches_after(_fed(s).read("partidos"))
+
+
+@query(
+    "import_log",
+    f"""SELECT v.batch_id, total, invalidos, duplicate_payload_groups, ambiguous_schedule_pairs, error,
+    invalidos = 0 AND duplicate_payload_groups = 0 AND ambiguous_schedule_pairs = 0 ok, insertados, ya_existentes, reprogramados, revision
+    FROM {_VERDICT} v LEFT JOIN (SELECT batch_id, count(*) FILTER (accion = 'insertado') insertados, count(*) FILTER (accion = 'ya_existente') ya_existentes,
+    count(*) FILTER (accion = 'reprogramado') reprogramados, count(*) FILTER (accion = 'revision') revision FROM {_DECISIONS} GROUP BY 1) USING (batch_id)""",
+)
+def import_log(s):
+    log = _fed(s).read("import_log")
+    return log.select(
+        "batch_id", "total", "invalidos", "duplicate_payload_groups", "ambiguous_schedule_pairs", "error", "ok", "insertados",
+        "ya_existentes", "reprogramados", "revision",
+    )
+
+
 _REVIEWS = f"""(SELECT md5(concat_ws('|', tipo, 3, local_id, away, odate, hora)) fingerprint, * FROM (
     SELECT *, CASE WHEN stored > 1 THEN 'partido_cruce_ambiguo' ELSE 'partido_finalizado_fecha_distinta' END tipo FROM {_DECISIONS} WHERE accion = 'revision'))"""
 _OLD_QUEUE = """(SELECT md5(concat_ws('|', 'partido_cruce_ambiguo', temporada_id, local_equipo_id, visitante_equipo_id, fecha, hora)) fingerprint,
