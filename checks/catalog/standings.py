@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.league_sql import SCOPE, STANDINGS_ORDER
 from checks.registry import query
 from tanteo.functions.numbers import goal_quotient, result_letter, result_points
+from tanteo.operators import silver
 from tanteo.operators import standings as ops
 from tanteo.operators.ranking import ranked, top_per_group
-from tanteo.operators.scope import matches_in_scope, top_division_teams
+from tanteo.operators.scope import matches_in_scope, top_division_teams, within_one_scope
+from tanteo.plans import mergeable
 from tanteo.plans.reports import standings_report
+from tanteo.session import scratch_dir
+from tanteo.sources.snapshots import SnapshotStore
 from tanteo.sources.star_league import COMPETITION_ID, SEASON_ID
 
 VIEW_SQL = """SELECT e.temporada_id, e.id equipo_id, e.club_id, c.nombre club, e.rama, e.categoria, e.division, e.equipo_codigo,
@@ -160,6 +166,34 @@ def club_balance_rank(s):
     return ranked(s.results.select("team_id", "name", "gd"), [], [F.desc("gd"), F.asc("team_id")])
 
 
+def _state(s):
+    return SnapshotStore(s.spark, f"{scratch_dir(s.spark).rstrip('/')}/state-{uuid.uuid4().hex}")
+
+
+@query("standings_incremental", "SELECT season_id, team_id, played, won, drawn, lost, gf, ga, points FROM s_results WHERE played > 0")
+def standings_incremental(s):
+    """Results kept as partial states: those from before every seventh club had played, brought up to date."""
+    totals = mergeable.standings_totals(_state(s))
+    before = silver.normalize_matches(s.partidos_sin_jugar, s.teams, s.clubs).withColumn("season_id", F.lit(SEASON_ID).cast("bigint"))
+    for number, matches in enumerate((before, s.checked("matches"))):
+        totals.apply(("standings", number), mergeable.standings_rows(within_one_scope(matches)))
+    return totals.totals()
+
+
+@query(
+    "player_stats_incremental",
+    f"""SELECT {SEASON_ID}::BIGINT season_id, player_id, team_id, matches_played, goals, two_min, yellow, red, assists, shots, saves::BIGINT saves FROM s_stats""",
+)
+def player_stats_incremental(s):
+    """Player totals from the lines of matches up to 1996, then from all."""
+    totals = mergeable.player_totals(_state(s))
+    matches, lines = s.checked("matches"), s.checked("lines")
+    early = lines.join(matches.where("match_date < '1997'").select("match_id"), "match_id", "left_semi")
+    for number, part in enumerate((early, lines)):
+        totals.apply(("players", number), mergeable.player_rows(part, matches))
+    return totals.totals()
+
+
 _CHECKED = f"""(SELECT *, list_filter([
     CASE WHEN competition_id IS NULL THEN 'competitionId requerido' END,
     CASE WHEN points_delta = 0 THEN 'pointsDelta entero no cero requerido' END,
