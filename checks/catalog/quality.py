@@ -217,7 +217,7 @@ _STATE = """CASE WHEN event_id % 4 = 1 OR event_id % 20 = 8 AND event_id % 3 <>
     WHEN event_id % 20 = 8 THEN 'Missing Token' ELSE '<html>ok</html>' END)::BIGINT body_size FROM events""",
 )
 def probe_log(s):
-    return reports.probe_log(s.respuestas)
+    return reports.probe_log(s.respuestas, 2000)
 
 
 @query(
@@ -225,4 +225,4 @@ def probe_log(s):
     f"SELECT {_STATE} state, count(*) responses, count(DISTINCT event_type) paths FROM events GROUP BY 1",
 )
 def probe_report(s):
-    return reports.probe_report(reports.probe_log(s.respuestas))
+    return reports.probe_report(reports.probe_log(s.respuestas, 2000))

@@ -20,10 +20,13 @@ def safe_url(link: Column) -> Column:
     return F.when(bare.rlike(r"(?i)^https?://[^\s/?#@\\:]+(:\d*)?([/?#]|$)"), F.replace(bare, F.lit(" "), F.lit("%20")))
 
 
-def response_state(status: Column, body: Column) -> Column:
-    """Public, protected, missing or failed, from the status code and the body of a response."""
+def response_state(status: Column, body: Column, sample: int | None = None) -> Column:
+    """Public, protected, missing or failed, from the status code and the body of a response.
+
+    Messages are looked for in the first ``sample`` characters of the body, or in all of it; whether it is JSON, always in all.
+    """
     text = F.trim(F.coalesce(body, F.lit("")))
-    said = F.lower(text)
+    said = F.lower(text if sample is None else F.substring(text, 1, sample))
     success = status.between(200, 299)
     return (
         F.when(status.isin(401, 403) | said.rlike(AUTH_MESSAGES), "auth_required")
@@ -34,7 +37,15 @@ def response_state(status: Column, body: Column) -> Column:
     )
 
 
+_STRICT = {"mode": "PERMISSIVE", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
 def is_json(text: Column) -> Column:
-    """Whether the text is JSON other than ``null``; an object may repeat a key."""
-    whole = F.trim(text).rlike(r"(?s)^(\{.*\}|\[.*\])$") & F.get_json_object(text, "$").isNotNull()
-    return F.coalesce((F.try_parse_json(text).isNotNull() | whole) & (F.trim(text) != "null"), F.lit(False))
+    """Whether the whole text is one JSON value other than ``null``; an object may repeat a key.
+
+    Spark's parsers stop behind the first value. So the text is read as the first of two elements of an array, the second being a
+    digest of the text, which it cannot hold: that one is in its place only if the first was one value and ended where the text does.
+    """
+    mark = F.md5(text)
+    parsed = F.from_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')), "array<string>", _STRICT)
+    return F.coalesce((F.size(parsed) == 2) & (F.get(parsed, 1) == mark) & (F.regexp_replace(text, r"[ \t\r\n]", "") != "null"), F.lit(False))

@@ -41,11 +41,11 @@ def stats_report(sheet: DataFrame) -> DataFrame:
     )
 
 
-def probe_log(responses: DataFrame) -> DataFrame:
-    """State of each logged response (key, path, status, body)."""
+def probe_log(responses: DataFrame, sample: int | None = None) -> DataFrame:
+    """State of each logged response (key, path, status, body); ``sample`` as in ``response_state``."""
     body = F.trim(F.coalesce("body", F.lit("")))
     return responses.select(
-        "key", "path", "status", response_state(F.col("status"), F.col("body")).alias("state"),
+        "key", "path", "status", response_state(F.col("status"), F.col("body"), sample).alias("state"),
         is_json(body).alias("json_valid"), F.length(body).cast("bigint").alias("body_size"),
     )
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import random
+
 from pyspark.sql import functions as F
 
 from tanteo.functions import numbers, web
@@ -21,7 +24,39 @@ def test_links_and_bodies(frame):
     found = [r[0] for r in links.select(web.safe_url(F.col("u"))).collect()]
     assert found == ["https://a_b.org/x%20y", "http://a.org/50%|z", None, None, None, "http://a.org:80"]
     bodies = frame("s int, b string", (200, '{"a": 1, "a": 2}'), (200, "x" * 3000 + " not found"), (200, "[1]"), (200, "null"))
-    assert [r[0] for r in bodies.select(web.response_state(F.col("s"), F.col("b"))).collect()] == ["public_json", "not_found", "public_json", "public_non_json"]
+    states = lambda sample: [r[0] for r in bodies.select(web.response_state(F.col("s"), F.col("b"), sample)).collect()]
+    assert states(None) == ["public_json", "not_found", "public_json", "public_non_json"]
+    assert states(2000) == ["public_json", "public_non_json", "public_json", "public_non_json"]
+
+
+def _is_json(text):
+    def refuse(_):
+        raise ValueError
+
+    try:
+        return json.loads(text, parse_constant=refuse) is not None
+    except ValueError:
+        return False
+
+
+def test_json_is_the_whole_text(spark):
+    """Values, mutilated values and values side by side, beside the strict parser of the standard library."""
+    source = random.Random(9)
+
+    def value(depth):
+        kind = source.randint(0, 6 if depth else 3)
+        if kind < 4:
+            return source.choice(['"a"', '"\\u00e9\\n"', "0", "-1.5e3", "true", "null", '""', '"]"', '"}{"'])
+        parts = [value(depth - 1) for _ in range(source.randint(0, 3))]
+        return f"[{', '.join(parts)}]" if kind == 4 else "{" + ",".join(f'"{source.choice("ab")}":{p}' for p in parts) + "}"
+
+    texts = [value(3) for _ in range(150)]
+    texts += [t[:i] + source.choice(["", "]", "}", ",", "'", "x", '"', " ", "\t", "1", "][", "},{"]) + t[i + source.randint(0, 1) :] for t in texts for i in [source.randint(0, len(t))]]
+    texts += [a + source.choice(["", " ", ",", "\n", "],["]) + b for a, b in zip(texts[::2], texts[1::2], strict=True)]
+    texts += ['{"a":1} junk}', "{}{}", "[1] x]", "1],[2", "1,2", "", " ", "null", " null ", "NaN", "[NaN]", "[Infinity]", "{'a':1}", "{a:1}", "05", '"\t"', "[1,]", "\ufeff{}"]
+    frame = spark.createDataFrame([(t,) for t in dict.fromkeys(texts)], "t string")
+    found = dict(frame.select("t", web.is_json(F.col("t"))).collect())
+    assert found == {t: _is_json(t) for t in found} and {True, False} == set(found.values())
 
 
 def test_ids_of_any_type_meet(frame):
