@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from functools import cache
 
@@ -18,18 +19,32 @@ FORMULA_START = r"^[\t\r\n ]*[=+\-@]"
 DEFAULT_INITIALS = "7M"
 
 
+#: Combining marks that are dropped, as the accents of Latin, Greek and Cyrillic letters.
+_MARKS = range(0x0300, 0x0370)
+# How Hangul syllables are numbered by their leading, vowel and trailing letters.
+_HANGUL, _LEADS, _VOWELS, _TRAILS = 0xAC00, 19, 21, 28
+
+
 @cache
-def _folding() -> tuple[str, str]:
-    """Precomposed Latin letters and their base letters; combining marks, which have no base, come last and vanish."""
-    source, target = [], []
-    for code in (*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)):
+def _folding() -> tuple[str, str, dict[str, str]]:
+    """Letters and what canonical decomposition leaves of them without marks: those that leave one letter, then those that leave
+    none (as the two texts of ``translate``), and those that leave several. Hangul syllables are not listed."""
+    source, target, gone, several = [], [], [], {}
+    for code in range(sys.maxunicode + 1):
         char = chr(code)
-        base = "".join(c for c in unicodedata.normalize("NFD", char) if not unicodedata.combining(c))
-        if base != char and len(base) == 1:
+        if 0xD800 <= code < 0xE000 or _HANGUL <= code < _HANGUL + _LEADS * _VOWELS * _TRAILS:
+            continue
+        left = "".join(c for c in unicodedata.normalize("NFD", char) if ord(c) not in _MARKS)
+        if left == char:
+            continue
+        if not left:
+            gone.append(char)
+        elif len(left) == 1:
             source.append(char)
-            target.append(base)
-    marks = [chr(code) for code in range(0x0300, 0x0370)]
-    return "".join(source + marks), "".join(target)
+            target.append(left)
+        else:
+            several[char] = left
+    return "".join(source + gone), "".join(target), several
 
 
 def strip_edges(text: Column) -> Column:
@@ -52,9 +67,35 @@ def is_blank(text: Column) -> Column:
 
 
 def fold_accents(text: Column) -> Column:
-    """Text without accents; the per-character lookup runs only on text that is not plain ASCII."""
+    """Text without accents: every character canonically decomposed, marks dropped.
+
+    The per-character lookup runs only on text that is not plain ASCII, that of characters that decompose into several only on
+    text that has one. Marks that stay are not put into canonical order.
+    """
+    source, target, several = _folding()
     is_ascii = F.octet_length(text) == F.char_length(text)
-    return F.when(is_ascii, text).otherwise(F.translate(text, *_folding()))
+    spread = text.rlike(f"[{''.join(several)}{chr(_HANGUL)}-{chr(_HANGUL + _LEADS * _VOWELS * _TRAILS - 1)}]")
+    return F.when(is_ascii, text).when(spread, F.translate(_decomposed(text), source, target)).otherwise(F.translate(text, source, target))
+
+
+def _decomposed(text: Column) -> Column:
+    several = F.create_map(*[F.lit(x) for pair in _folding()[2].items() for x in pair])
+
+    def letters(first: int, n: int, number: Column) -> Column:
+        return F.substring(F.lit("".join(chr(first + i) for i in range(n))), number + 1, F.lit(1))
+
+    def one(at: Column) -> Column:
+        char = F.substring(text, at, F.lit(1))
+        number = F.ascii(char) - _HANGUL
+        lead, vowel, trail = (F.floor(number / (_VOWELS * _TRAILS)), F.floor(number / _TRAILS) % _VOWELS, number % _TRAILS)
+        syllable = F.concat(
+            letters(0x1100, _LEADS, lead.cast("int")), letters(0x1161, _VOWELS, vowel.cast("int")),
+            F.when(trail > 0, letters(0x11A8, _TRAILS - 1, trail - 1)).otherwise(""),
+        )
+        is_syllable = number.between(0, _LEADS * _VOWELS * _TRAILS - 1)
+        return F.when(is_syllable, syllable).otherwise(F.coalesce(F.element_at(several, char), char))
+
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), one), "")
 
 
 def normalize_text(text: Column) -> Column:

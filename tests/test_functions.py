@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+import random
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,25 +41,32 @@ def test_age_follows_the_league_day(frame):
     assert values(df, dates.age_on(F.col("b"), day)) == [age for *_, age in cases]
 
 
-def test_cells_cannot_run_as_formulas(texts):
-    cases = {
-        "Molino Azul": '"Molino Azul"',
-        'Lía "Roca" Zunde': '"Lía ""Roca"" Zunde"',
-        "=B7*3": '"\'=B7*3"',
-        "+54 11": '"\'+54 11"',
-        "-7 puntos": '"\'-7 puntos"',
-        "@nota": '"\'@nota"',
-        '   =N("y")': '"\'   =N(""y"")"',
-    }
-    df = texts(*cases, None)
-    assert values(df, text.csv_cell(F.col("x"), True)) == [*cases.values(), '""']
-    assert values(df.limit(1), text.csv_cell(F.lit(-12), False)) == ['"-12"']
+def test_no_text_cell_begins_a_formula(texts):
+    """Generated cells: quoted, inner quotes doubled, and an apostrophe where the first character that is no blank would compute."""
+    source = random.Random(21)
+    cells = ["".join(source.choices("=+-@ \t\r\n\"',;aZ9é", k=source.randint(0, 6))) for _ in range(600)]
+
+    def plain(cell):
+        first = cell.lstrip(" \t\r\n")[:1]
+        return '"' + ("'" if first and first in "=+-@" else "") + cell.replace('"', '""') + '"'
+
+    df = texts(*cells, None)
+    assert values(df, text.csv_cell(F.col("x"), True)) == [*map(plain, cells), '""']
+    numbers_only = df.withColumn("n", F.col("i") - 300)
+    assert values(numbers_only, text.csv_cell(F.col("n"), False)) == [f'"{i - 300}"' for i in range(601)]
 
 
-def test_links(texts):
-    good = ["https://liga.example/tabla?zona=4", "http://liga.example/a/b"]
-    bad = ["vbscript:x", "mailto:ana@liga.example", "https://ana:clave@liga.example/", "http://ana@liga.example/x", "tabla/2", "liga punto example", "", None]
-    assert values(texts(*good, *bad), web.safe_url(F.col("x"))) == good + [None] * len(bad)
+def test_only_plain_web_links_pass(texts):
+    """Every combination of the parts of a link: web schemes, a host, and nobody's credentials."""
+    schemes, seps = ("http", "https", "HTTPS", "ftp", "vbscript", ""), ("://", ":", "//")
+    users, hosts, ports, rests = ("", "ana@", "ana:clave@"), ("liga.example", "a_b.org", ""), ("", ":8080"), ("", "/tabla 2", "?zona=4", "#@x")
+    wanted = {}
+    for scheme, sep, user, host, port, rest in itertools.product(schemes, seps, users, hosts, ports, rests):
+        link = f"{scheme}{sep}{user}{host}{port}{rest}"
+        web_link = scheme.lower() in ("http", "https") and sep == "://" and not user and host != ""
+        wanted[f" {link} "] = link.replace(" ", "%20") if web_link else None
+    df = texts(*wanted, None)
+    assert values(df, web.safe_url(F.col("x"))) == [*wanted.values(), None]
 
 
 def test_normalised_text(texts):
@@ -105,15 +116,32 @@ def test_freshness(frame):
     assert values(df, state) == [case[-1] for case in cases]
 
 
-def test_responses(frame):
-    cases = [
-        (200, '{"tabla": [3, 1]}', "public_json"),
-        (401, '{"error":"Unauthorized"}', "auth_required"),
-        (404, "<b>not found</b>", "not_found"),
-        (200, "<html>ok</html>", "public_non_json"),
-        (200, '{"message":"jwt expired"}', "auth_required"),
-        (500, "", "transport_or_server_error"),
-        (None, None, "transport_or_server_error"),
-    ]
-    df = frame("i int, s int, b string", *[(i, s, b) for i, (s, b, _) in enumerate(cases)])
-    assert values(df, web.response_state(F.col("s"), F.col("b"))) == [state for *_, state in cases]
+def test_states_of_responses(frame):
+    """Every status with every kind of body: what protects a resource outweighs what is missing, both outweigh the status."""
+    bodies = {
+        "": "", '[{"pos": 1}]': "json", "<p>tabla</p>": "", "Forbidden zone": "auth", '{"why": "invalid TOKEN"}': "auth", "page Not Found": "missing",
+        "not found: missing token": "auth", "null": "",
+    }
+    cases = list(itertools.product((None, 199, 200, 204, 299, 300, 401, 403, 404, 502), bodies))
+
+    def plain(status, kind):
+        if status in (401, 403) or kind == "auth":
+            return "auth_required"
+        if status == 404 or kind == "missing":
+            return "not_found"
+        if status is None or not 200 <= status < 300:
+            return "transport_or_server_error"
+        return "public_json" if kind == "json" else "public_non_json"
+
+    df = frame("i int, s int, b string", *[(i, s, b) for i, (s, b) in enumerate(cases)])
+    assert values(df, web.response_state(F.col("s"), F.col("b"))) == [plain(s, bodies[b]) for s, b in cases]
+
+
+def test_folding_is_decomposition_without_accents_for_every_character(spark):
+    chars = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    # a hundred characters a text, each behind a letter that shows where it was
+    texts = ["".join(f"{c}|" for c in chars[i : i + 100]) for i in range(0, len(chars), 100)]
+    frame = spark.createDataFrame([(t,) for t in texts], "x string").repartition(4)
+    found = dict(frame.select("x", text.fold_accents(F.col("x"))).collect())
+    accents = dict.fromkeys(range(0x300, 0x370))
+    assert all("".join(unicodedata.normalize("NFD", c).translate(accents) + "|" for c in t[::2]) == f for t, f in found.items())
