@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from tanteo.operators.ranking import ranked
 from tanteo.operators.scope import active_teams, distinct_values, matches_in_scope
 from tanteo.plans import publications
 from tanteo.plans.team_sync import club_key
+from tanteo.session import scratch_dir
 from tanteo.sources import csv_files, tables
 from tanteo.sources.payload import fixture_rows
 from tanteo.sources.star_league import SEASON_ID, TODAY
@@ -93,6 +95,23 @@ def csv_cell(s):
     return csv_files.quoted_cells(s.table("customer").select(F.col("c_custkey").alias("id"), name))
 
 
+@query(
+    "csv_files_written",
+    """SELECT '"' || c_custkey || '","' || replace(CASE WHEN c_custkey % 3 = 0 THEN '''=' || c_name || '"' WHEN c_custkey % 3 = 1
+    THEN '''@"' || c_name || '"' ELSE c_name || '"' END, '"', '""') || '"' AS line, 'EFBBBF' AS mark, '"id","name"' AS header FROM customer""",
+)
+def csv_files_written(s):
+    """The files' bytes, read back: the mark, the header and the lines."""
+    name = F.expr("""concat(element_at(array('=', '@"', ''), cast(c_custkey % 3 as int) + 1), c_name, '"')""").alias("name")
+    path = f"{scratch_dir(s.spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    csv_files.write_csv(s.table("customer").select(F.col("c_custkey").alias("id"), name), path)
+    lines = F.split(F.decode(F.expr("substring(content, 4)"), "UTF-8"), "\n")
+    files = s.spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
+    files = files.select(F.hex(F.expr("substring(content, 1, 3)")).alias("mark"), lines.alias("lines"))
+    files = files.select("mark", F.get("lines", F.lit(0)).alias("header"), F.explode(F.slice("lines", 2, F.size("lines"))).alias("line"))
+    return files.where("line != ''")
+
+
 @query(
     "fixture_batch_ingest",
     """SELECT match_key // 5 batch_id, row_number() OVER (PARTITION BY match_key // 5 ORDER BY match_key) idx, 3::BIGINT temporada_id,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from tanteo.plans import match_sheets as sheets
 from tanteo.sources import csv_files
@@ -111,9 +112,24 @@ def test_sheets_are_read_whole(spark, tmp_path):
 
 
 def test_csv_files(spark, frame, tmp_path):
-    rows = frame("Jugador string, Goles int", ('Noa "Zeta"', -3), ("=7*7", None), ("  -x", 2), (None, 0))
-    csv_files.write_csv(rows.coalesce(1), str(tmp_path / "out"))
-    (part,) = (tmp_path / "out").glob("part-*.csv")
-    assert part.read_text(encoding="utf-8").splitlines() == [
-        '"Jugador","Goles"', '"Noa ""Zeta""","-3"', '"\'=7*7",""', '"\'  -x","2"', '"","0"',
-    ]
+    rows = frame("Jugador string, Goles int", ('Noa "Zeta"', -3), ("=7*7", None), ("  -x", 2), (None, 0), ("dos\nlíneas", 1))
+    out = tmp_path / "out"
+    csv_files.write_csv(rows.coalesce(1), str(out))
+    (part,) = out.glob("part-*.csv")
+    lines = ['"Jugador","Goles"', '"Noa ""Zeta""","-3"', '"\'=7*7",""', '"\'  -x","2"', '"","0"', '"dos\nlíneas","1"']
+    assert part.read_bytes() == b"\xef\xbb\xbf" + ("\n".join(lines) + "\n").encode()
+    assert {p.name for p in out.iterdir()} == {part.name, "_SUCCESS"}
+
+    with pytest.raises(Exception, match="exists"):
+        csv_files.write_csv(rows, str(out))
+    csv_files.write_csv(rows.repartition(3), f"file://{out}", mode="append")
+    parts = list(out.glob("part-*.csv"))
+    assert len(parts) == 4 and all(p.read_bytes().startswith(b'\xef\xbb\xbf"Jugador"') for p in parts)
+
+    # a job that fails leaves the folder as it was
+    goals = F.when(F.col("Goles") == 2, F.raise_error(F.lit("lost"))).otherwise(F.col("Goles"))
+    with pytest.raises(Exception, match="lost"):
+        csv_files.write_csv(rows.repartition(2).withColumn("Goles", goals), str(out), mode="overwrite")
+    assert set(out.glob("*")) == {*parts, out / "_SUCCESS"}
+    csv_files.write_csv(rows.where("Goles > 90"), str(out), mode="overwrite")
+    assert all(p.read_bytes() == b'\xef\xbb\xbf"Jugador","Goles"\n' for p in out.glob("part-*.csv"))
