@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.league_sql import norm, rank_of, ratio, safe_url
+from checks.league_sql import norm, pick, rank_of, ratio, safe_url
 from checks.registry import query
 from tanteo.operators import calendar, directory, scope, search, silver
 from tanteo.plans.reports import matches_report
+from tanteo.sources import star_league as star
 from tanteo.sources.star_league import SEASON_ID, TODAY
 
 CATEGORY, DIVISION, BRANCH = "Mayores", "LHC Hipotecario Seguros", "M"
@@ -200,9 +201,33 @@ def competition_bar(s):
 )
 def competition_options(s):
     """The requested branch exists, the category falls back to the default, the division to the first in order."""
-    requested = {"rama": "F", "categoria": "Veteranos", "division": None}
-    defaults = {"rama": BRANCH, "categoria": CATEGORY, "division": DIVISION}
-    return scope.competition_options(s.teams, requested, defaults)[0]
+    columns = "request_id int, rama string, categoria string, division string"
+    request = s.spark.createDataFrame([(1, "F", "Veteranos", None)], columns)
+    tree = scope.competition_tree(s.teams)
+    return scope.competition_options(tree, scope.resolve_competitions(tree, request, _DEFAULTS)).drop("request_id")
+
+
+_DEFAULTS = {"rama": BRANCH, "categoria": CATEGORY, "division": DIVISION}
+# A request per customer: a branch, category and division of its own numbers, so that some do not go together or do not exist.
+_COMPETITION_REQUESTS = f"""(SELECT c_custkey request_id, CASE c_custkey % 5 WHEN 0 THEN 'M' WHEN 1 THEN 'F' WHEN 2 THEN 'X' WHEN 3 THEN '' END rama,
+    {pick(star.CATEGORIES, 'c_custkey // 3')} categoria, {pick(star.DIVISIONS, 'c_custkey // 7')} division FROM customer)"""
+
+
+@query(
+    "competition_requests",
+    f"""WITH b AS (SELECT request_id, CASE WHEN rama IN (SELECT branch FROM s_cards) THEN rama ELSE '{BRANCH}' END rama, categoria, division FROM {_COMPETITION_REQUESTS}),
+    c AS (SELECT * REPLACE (CASE WHEN EXISTS (SELECT 1 FROM s_cards WHERE branch = rama AND category = categoria) THEN categoria ELSE '{CATEGORY}' END AS categoria) FROM b)
+    SELECT request_id, rama, categoria, CASE WHEN EXISTS (SELECT 1 FROM s_cards x WHERE branch = rama AND category = categoria AND x.division = c.division) THEN division
+    WHEN EXISTS (SELECT 1 FROM s_cards x WHERE branch = rama AND category = categoria AND x.division = '{DIVISION}') THEN '{DIVISION}'
+    ELSE (SELECT arg_min(x.division, {norm('x.division')}) FROM s_cards x WHERE branch = rama AND category = categoria) END division FROM c""",
+)
+def competition_requests(s):
+    """As many requests as there are customers, in one plan."""
+    requests = s.table("customer").selectExpr(
+        "c_custkey AS request_id", "CASE c_custkey % 5 WHEN 0 THEN 'M' WHEN 1 THEN 'F' WHEN 2 THEN 'X' WHEN 3 THEN '' END AS rama",
+        f"{star.pick(star.CATEGORIES, 'c_custkey div 3')} AS categoria", f"{star.pick(star.DIVISIONS, 'c_custkey div 7')} AS division",
+    )
+    return scope.resolve_competitions(scope.competition_tree(s.teams), requests, _DEFAULTS)
 
 
 @query(

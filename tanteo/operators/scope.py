@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tanteo.functions import labels
@@ -46,31 +46,63 @@ def top_division_teams(teams: DataFrame) -> DataFrame:
     return direct.unionByName(fallback)
 
 
-def competition_options(
-    teams: DataFrame, requested: dict[str, str | None], defaults: dict[str, str]
-) -> tuple[DataFrame, dict[str, str]]:
-    """Cascading choices (branch, then category, then division) and the values they resolve to.
+LEVELS = (("branch", "rama"), ("category", "categoria"), ("division", "division"))
 
-    The choices of one level are a handful of labels; only the chosen label of each level reaches the driver.
+
+def competition_tree(teams: DataFrame) -> DataFrame:
+    """Choices of every level under the choices above it: (level, above, value, rank, first), one row per path of
+    (branch, category, division), whatever the number of teams. ``above`` lists the values chosen above; blank ones are empty there.
     """
-    levels = (("branch", "rama"), ("category", "categoria"), ("division", "division"))
-    resolved: dict[str, str] = {}
-    frames = []
-    for column, level in levels:
-        values = distinct_values(teams, column)
+    named = [F.when(~is_blank(F.col(c)), F.col(c)) for c, _ in LEVELS]
+    paths = teams.select(*[v.alias(c) for v, (c, _) in zip(named, LEVELS, strict=True)]).distinct()
+
+    def step(depth: int) -> Column:
+        column, level = LEVELS[depth]
+        above = F.array(*[F.coalesce(F.col(c), F.lit("")) for c, _ in LEVELS[:depth]]).cast("array<string>")
         rank = labels.category_rank(F.col(column)) if column == "category" else F.lit(0)
-        options = values.select(F.lit(level).alias("level"), F.col(column).alias("value"), rank.alias("rank"))
-        preference = (
-            F.when(F.col("value") == F.lit(requested.get(level)), 0)
-            .when(F.col("value") == F.lit(defaults.get(level)), 1)
-            .otherwise(2)
-        )
-        chosen = options.orderBy(preference, "rank", spanish(F.col("value")), "value").first()
-        resolved[level] = chosen["value"] if chosen else ""
-        frames.append(options.withColumn("selected", F.col("value") == resolved[level]))
-        if resolved[level]:
-            teams = teams.where(F.col(column) == resolved[level])
-    return frames[0].unionByName(frames[1]).unionByName(frames[2]), resolved
+        return F.struct(F.lit(level).alias("level"), above.alias("above"), F.col(column).alias("value"), rank.cast("int").alias("rank"))
+
+    choices = paths.select(F.inline(F.array(*[step(d) for d in range(len(LEVELS))]))).where("value IS NOT NULL").distinct()
+    order = [F.asc("rank"), spanish(F.col("value")).asc(), F.asc("value")]
+    leading = Window.partitionBy("level", "above").orderBy(*order)
+    return choices.withColumn("first", F.row_number().over(leading) == 1)
+
+
+def resolve_competitions(tree: DataFrame, requests: DataFrame, defaults: dict[str, str]) -> DataFrame:
+    """The competition each request (request_id, rama, categoria, division) lands on: at each level what it asks for if that is a
+    choice there, else the default, else the first choice, else nothing. All requests are resolved in one plan, by equi-joins with
+    the tree.
+    """
+    found = requests.select("request_id", *[F.col(level).alias(f"_{level}") for _, level in LEVELS])
+    chosen: list[str] = []
+    for _, level in LEVELS:
+        here = tree.where(F.col("level") == level)
+        standing = F.max(F.when(F.col("value") == F.lit(defaults.get(level)).cast("string"), F.col("value")))
+        fallback = F.coalesce(standing, F.max(F.when(F.col("first"), F.col("value"))))
+        known = here.select(F.col("above").alias("_above"), F.col("value").alias("_asked"), F.lit(True).alias("_known"))
+        found = found.withColumns({"_above": F.array(*[F.col(c) for c in chosen]).cast("array<string>"), "_asked": F.col(f"_{level}")})
+        found = found.join(known, ["_above", "_asked"], "left")
+        if chosen:
+            found = found.join(here.groupBy(F.col("above").alias("_above")).agg(fallback.alias("_fallback")), "_above", "left")
+        else:
+            # The first level has one list of choices, so one fallback for all requests.
+            found = found.withColumn("_fallback", here.agg(fallback.alias("value")).scalar())
+        value = F.coalesce(F.when(F.col("_known"), F.col(f"_{level}")), F.col("_fallback"), F.lit(""))
+        found = found.withColumn(level, value).drop("_above", "_asked", "_known", "_fallback", f"_{level}")
+        chosen.append(level)
+    return found
+
+
+def competition_options(tree: DataFrame, resolved: DataFrame) -> DataFrame:
+    """The choices each resolved request is shown: (request_id, level, value, rank, selected). The choices themselves are kept once,
+    in the tree; this is the view on it that a screen reads."""
+    names = [level for _, level in LEVELS]
+    shown = resolved.select("request_id", F.inline(F.array(*[
+        F.struct(F.lit(level).alias("level"), F.array(*names[:d]).cast("array<string>").alias("above"), F.col(level).alias("chosen"))
+        for d, level in enumerate(names)
+    ])))
+    found = shown.join(tree, ["level", "above"])
+    return found.select("request_id", "level", "value", "rank", (F.col("value") == F.col("chosen")).alias("selected"))
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
