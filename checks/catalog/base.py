@@ -458,7 +458,6 @@ def distinct(s):
 )
 def dedup_by_schedule(s):
     rows = publications.identified(s.publicaciones).where("error is null")
-    rows = rows.select("seq", "scope", "tipo_fuente", "schedule")
-    return publications.distinct_schedules(rows, "scope", "tipo_fuente", "schedule").select(
-        "scope", "tipo_fuente", "schedule", F.col("first.seq").alias("seq"), "versions"
-    )
+    rows = publications.marked(rows.select("seq", "scope", "tipo_fuente", "schedule"), ["seq"])
+    found = publications.distinct_schedules(rows, "scope", "tipo_fuente", "schedule")
+    return found.select("scope", "tipo_fuente", "schedule", "seq", "versions")

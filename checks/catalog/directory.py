@@ -305,7 +305,7 @@ def _player_requests(s):
     coalesce(nullif(requested_team_id, 0), only_team) END team_id FROM {_DECIDED}""",
 )
 def resolve_player_context(s):
-    return _player_requests(s)[0]
+    return _player_requests(s).decisions.drop("choice_set")
 
 
 @query(
@@ -314,7 +314,7 @@ def resolve_player_context(s):
     WHERE status = 'ambiguous' AND (shown = 0 OR r.team_id IN (SELECT team_id FROM s_top_teams))""",
 )
 def resolve_player_choices(s):
-    return _player_requests(s)[1]
+    return directory.choices(_player_requests(s))
 
 
 _CONTEXTS = """(SELECT club_id entity_id, team_id, category || '|' || division || '|' || branch context_key FROM s_cards WHERE team_id > 0)"""
@@ -348,7 +348,7 @@ def _club_requests(s):
     CASE WHEN requested_team_id IS NULL THEN first_key ELSE own END END context_key FROM {_CLUB_DECIDED}""",
 )
 def resolve_scoped_context(s):
-    return _club_requests(s)[0]
+    return _club_requests(s).decisions.drop("choice_set")
 
 
 @query(
@@ -357,4 +357,4 @@ def resolve_scoped_context(s):
     WHERE status = 'ambiguous' GROUP BY request_id, d.entity_id, context_key""",
 )
 def resolve_scoped_choices(s):
-    return _club_requests(s)[1]
+    return directory.choices(_club_requests(s))

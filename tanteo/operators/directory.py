@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 from tanteo.functions import labels
 from tanteo.functions.numbers import ratio_1dp
 from tanteo.functions.text import normalize_text, null_if_empty, spanish
-from tanteo.operators.ranking import ranked
+from tanteo.operators.ranking import packed, packed_second, ranked
 from tanteo.operators.scope import active_teams, matches_in_scope, within_one_scope
 from tanteo.operators.silver import scope_key
+from tanteo.session import cut
 
 COMPETITION = ("branch", "category", "division")
 
@@ -183,25 +185,42 @@ def _positive(value: Column) -> Column:
     return F.when(number > 0, number)
 
 
-def resolve_player_context(
-    requests: DataFrame, memberships: DataFrame, visible: DataFrame
-) -> tuple[DataFrame, DataFrame]:
-    """Team each request (request_id, player_id, requested_team_id) refers to, and the choices of ambiguous ones.
+class Context(NamedTuple):
+    """Decisions, one row per request; and the choices of each entity, stored once: an ambiguous decision names its set in
+    ``choice_set``, whatever the number of requests that share it."""
 
-    Memberships are counted per player, never gathered: a player on many rosters stays spread over the cluster.
+    decisions: DataFrame
+    choice_sets: DataFrame
+
+
+def choices(context: Context) -> DataFrame:
+    """The choices of every ambiguous request: the sets joined to the requests that name them."""
+    asked = context.decisions.where("status = 'ambiguous'").select("request_id", "choice_set")
+    return asked.join(context.choice_sets, "choice_set").drop("choice_set")
+
+
+def resolve_player_context(requests: DataFrame, memberships: DataFrame, visible: DataFrame) -> Context:
+    """Team each request (request_id, player_id, requested_team_id) refers to; the choices of a player are the teams on screen, or all
+    if none is.
+
+    Memberships are read once, into one row per player and team with a mark for those on screen; they are counted per player, never
+    gathered, so a player on many rosters stays spread over the cluster.
     """
     asked = requests.select(
         "request_id", _positive(F.col("player_id")).alias("player_id"),
         _positive(F.col("requested_team_id")).alias("requested_team_id"),
     )
-    teams = memberships.select("player_id", "team_id").where("player_id > 0 and team_id > 0").distinct()
-    seen = visible.select("player_id", "team_id", F.lit(True).alias("shown")).distinct()
-    teams = teams.join(seen, ["player_id", "team_id"], "left")
+    sources = memberships.select("player_id", "team_id", F.lit(True).alias("member"), F.lit(False).alias("on_screen")).unionByName(
+        visible.select("player_id", "team_id", F.lit(False).alias("member"), F.lit(True).alias("on_screen")))
+    marked = sources.where("player_id > 0 and team_id > 0").groupBy("player_id", "team_id").agg(
+        F.max("member").alias("member"), F.max("on_screen").alias("on_screen")
+    )
+    teams = cut(marked.where("member").drop("member"))
     counts = teams.groupBy("player_id").agg(
         F.count("*").alias("total"),
-        F.count("shown").alias("shown"),
+        F.count_if("on_screen").alias("shown"),
         F.min("team_id").alias("only_team"),
-        F.min(F.when(F.col("shown"), F.col("team_id"))).alias("only_shown"),
+        F.min(F.when(F.col("on_screen"), F.col("team_id"))).alias("only_shown"),
     )
     requested = teams.select("player_id", F.col("team_id").alias("requested_team_id"), F.lit(True).alias("belongs"))
     joined = asked.join(counts, "player_id", "left").join(requested, ["player_id", "requested_team_id"], "left")
@@ -221,26 +240,24 @@ def resolve_player_context(
         .when((F.col("status") == "team") & asks_team, F.col("requested_team_id"))
         .when(F.col("status") == "team", F.col("only_team"))
     )
-    decided = joined.withColumn("status", status).withColumn("team_id", team)
-    open_requests = decided.where("status = 'ambiguous'").select("request_id", "player_id", "shown")
-    choices = (
-        open_requests.withColumnRenamed("shown", "visible_teams")
-        .join(teams, "player_id")
-        .where((F.col("visible_teams") == 0) | F.col("shown"))
-        .select("request_id", "player_id", "team_id")
+    decided = joined.withColumn("status", status).select(
+        "request_id", "player_id", "status", team.alias("team_id"),
+        F.when(F.col("status") == "ambiguous", F.col("player_id")).alias("choice_set"),
     )
-    return decided.select("request_id", "player_id", "status", "team_id"), choices
+    seen = counts.select("player_id", F.col("shown") > 0)
+    sets = teams.join(seen.toDF("player_id", "any_shown"), "player_id").where("on_screen OR NOT any_shown")
+    return Context(decided, sets.select(F.col("player_id").alias("choice_set"), "player_id", "team_id"))
 
 
 def context_key() -> Column:
     return F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("")) for c in ("category", "division", "branch")])
 
 
-def resolve_scoped_context(requests: DataFrame, memberships: DataFrame) -> tuple[DataFrame, DataFrame]:
+def resolve_scoped_context(requests: DataFrame, memberships: DataFrame) -> Context:
     """Competition each request (request_id, entity_id, requested_team_id, current_present) refers to.
 
-    ``memberships`` holds (entity_id, team_id, context_key, seq); the lowest ``seq`` stands for a context. Returns the
-    decisions and, for ambiguous requests, one row per possible context.
+    ``memberships`` holds (entity_id, team_id, context_key, seq); ``seq`` is not negative and differs between the rows of an entity. The
+    lowest one stands for a context. The choices of an entity are one row per possible context.
     """
     asked = requests.select(
         "request_id", _positive(F.col("entity_id")).alias("entity_id"),
@@ -248,19 +265,19 @@ def resolve_scoped_context(requests: DataFrame, memberships: DataFrame) -> tuple
         F.coalesce("current_present", F.lit(False)).alias("current_present"),
     )
     valid = memberships.where((F.col("team_id") > 0) & (F.coalesce("context_key", F.lit("")) != ""))
-    contexts = valid.groupBy("entity_id", "context_key").agg(F.min(F.struct("seq", "team_id")).alias("first"))
-    counts = contexts.groupBy("entity_id").agg(
-        F.count("*").alias("contexts"), F.min(F.struct("first", "context_key")).alias("lead")
-    )
-    own = valid.groupBy("entity_id", F.col("team_id").alias("requested_team_id")).agg(
-        F.min(F.struct("seq", "context_key")).alias("own")
-    )
-    joined = asked.join(counts, "entity_id", "left").join(own, ["entity_id", "requested_team_id"], "left")
+    firsts = valid.groupBy("entity_id", "context_key").agg(F.min(packed(F.col("seq"), F.col("team_id"))).alias("first"))
+    contexts = cut(firsts)
+    counts = contexts.groupBy("entity_id").agg(F.count("*").alias("contexts"), F.min("first").alias("first"))
+    lead = counts.join(contexts, ["entity_id", "first"]).select(
+        "entity_id", "contexts", packed_second(F.col("first")).alias("lead_team"), F.col("context_key").alias("lead_key"))
+    own = valid.groupBy("entity_id", F.col("team_id").alias("requested_team_id")).agg(F.min("seq").alias("seq"))
+    own = own.join(valid.select("entity_id", "seq", F.col("context_key").alias("own_key")), ["entity_id", "seq"]).drop("seq")
+    joined = asked.join(lead, "entity_id", "left").join(own, ["entity_id", "requested_team_id"], "left")
     asks_team = F.col("requested_team_id").isNotNull()
     status = (
         F.when(F.col("entity_id").isNull(), "invalid")
         .when(F.col("contexts").isNull(), "missing")
-        .when(asks_team & F.col("own").isNull(), "invalid-team")
+        .when(asks_team & F.col("own_key").isNull(), "invalid-team")
         .when(asks_team, "team")
         .when(F.col("current_present"), "current")
         .when(F.col("contexts") == 1, "team")
@@ -272,15 +289,11 @@ def resolve_scoped_context(requests: DataFrame, memberships: DataFrame) -> tuple
         "request_id",
         "entity_id",
         "status",
-        F.when(by_context, F.col("lead.first.team_id"))
+        F.when(by_context, F.col("lead_team"))
         .when(by_request | (F.col("status") == "invalid-team"), F.col("requested_team_id"))
         .alias("team_id"),
-        F.when(by_context, F.col("lead.context_key")).when(by_request, F.col("own.context_key")).alias("context_key"),
-    )
-    choices = (
-        decided.where("status = 'ambiguous'")
-        .select("request_id", "entity_id")
-        .join(contexts, "entity_id")
-        .select("request_id", "entity_id", F.col("first.team_id").alias("team_id"), "context_key")
+        F.when(by_context, F.col("lead_key")).when(by_request, F.col("own_key")).alias("context_key"),
+        F.when(F.col("status") == "ambiguous", F.col("entity_id")).alias("choice_set"),
     )
-    return decided, choices
+    sets = contexts.select(F.col("entity_id").alias("choice_set"), "entity_id", packed_second(F.col("first")).alias("team_id"), "context_key")
+    return Context(decided, sets)

@@ -48,3 +48,27 @@ def top_overall(df: DataFrame, order: Sequence[Column], k: int, name: str = "pos
     kept = df.orderBy(*order).limit(k)
     position = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order))
     return kept.withColumn(name, position.cast("bigint"))
+
+
+def packed(first: Column, second: Column) -> Column:
+    """Two non-negative 64-bit numbers as one: its minimum is that of the first, with the second beside it.
+
+    Spark keeps such a number in a hash aggregate; for a struct it would sort.
+    """
+    return first.cast("decimal(19,0)") * F.expr(_ABOVE) + second.cast("decimal(19,0)")
+
+
+def packed_first(number: Column) -> Column:
+    return F.floor(number / F.expr(_ABOVE)).cast("bigint")
+
+
+def packed_second(number: Column) -> Column:
+    return (number % F.expr(_ABOVE)).cast("bigint")
+
+
+def row_mark(seq: Column, *columns: str) -> Column:
+    """``seq`` and a digest of the row as one number, by which the row can be found again; rows that share it are equal."""
+    return packed(seq, F.xxhash64(*columns).bitwiseAND(F.lit((1 << 62) - 1)))
+
+
+_ABOVE = "cast('10000000000000000000' AS decimal(20,0))"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tanteo.functions.text import is_blank, normalize_key, strip_edges
 from tanteo.operators.quality import SOURCE_TYPES
-from tanteo.session import cut
+from tanteo.operators.ranking import packed_first, row_mark
 
 NORMAL, RESCHEDULED = SOURCE_TYPES
 
@@ -110,22 +111,27 @@ class Prioritized(NamedTuple):
 
 
 def distinct_schedules(publications: DataFrame, *keys: str) -> DataFrame:
-    """First publication of each schedule inside its match-up and source type, and how many repeat it."""
-    columns = [c for c in publications.columns if c not in (*keys, "seq")]
-    return publications.groupBy(*keys).agg(
-        F.min(F.struct("seq", *columns)).alias("first"), F.count("*").alias("versions")
-    )
+    """The mark of the first publication of each schedule inside its match-up and source type, its ``seq``, and how many repeat it."""
+    found = publications.groupBy(*keys).agg(F.min("mark").alias("first"), F.count("*").alias("versions"))
+    return found.withColumn("seq", packed_first(F.col("first")))
+
+
+def marked(publications: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Publications with ``mark``, by which the first one is chosen and found again: ``seq``, and a digest for those that share it."""
+    return publications.withColumn("mark", row_mark(F.col("seq"), *columns))
 
 
 def prioritize(publications: DataFrame) -> Prioritized:
-    """Choose one publication per match-up; ``seq`` is the order of publication.
+    """Choose one publication per match-up; ``seq`` is the order of publication, not negative.
 
     A single rescheduling wins, several are ambiguous; without one, a single normal date wins. Repeats are merged by
-    partial aggregation twice, so a match-up published very often never meets in one task.
+    partial aggregation twice, so a match-up published very often never meets in one task. Only numbers are aggregated; what a
+    winner says is joined back by its mark.
     """
     checked = identified(publications)
     rejected = checked.where("error is not null").select(*publications.columns, "error")
-    valid = checked.where("error is null").drop("error")
+    columns = publications.columns
+    valid = marked(checked.where("error is null").drop("error"), columns)
     schedules = distinct_schedules(valid, "scope", "kind", "schedule")
     normal, moved = F.col("kind") == NORMAL, F.col("kind") == RESCHEDULED
     matchups = schedules.groupBy("scope").agg(
@@ -135,26 +141,27 @@ def prioritize(publications: DataFrame) -> Prioritized:
         F.min(F.when(normal, F.col("first"))).alias("normal"),
         F.min(F.when(moved, F.col("first"))).alias("moved"),
     )
-    # Both outputs read the match-ups, so they are written once.
-    matchups = cut(matchups)
     ambiguity = F.when(F.col("moves") > 1, "multiples_reprogramaciones").when(
         (F.col("moves") == 0) & (F.col("normals") > 1), "mismo_cruce_repetido"
     )
     matchups = matchups.withColumn("tipo", ambiguity)
     by_move = F.col("moves") == 1
-    original = by_move & (F.col("normals") == 1)
-    selected = (
-        matchups.where("tipo is null")
-        .withColumn("chosen", F.when(by_move, F.col("moved")).otherwise(F.col("normal")))
-        .select(
-            "scope",
-            "chosen.*",
-            F.when(by_move, RESCHEDULED).otherwise(NORMAL).alias("fuente_priorizada"),
-            "versiones_detectadas",
-            F.when(original, F.col("normal.fecha")).alias("fecha_programacion_original"),
-            F.when(original, F.col("normal.hora")).alias("hora_programacion_original"),
-        )
+    winners = matchups.where("tipo is null").select(
+        "scope",
+        F.when(by_move, F.col("moved")).otherwise(F.col("normal")).alias("mark"),
+        F.when(by_move, RESCHEDULED).otherwise(NORMAL).alias("fuente_priorizada"),
+        "versiones_detectadas",
+        F.when(by_move & (F.col("normals") == 1), F.col("normal")).alias("_original"),
+    )
+    # Equal publications share a mark: one of them is enough.
+    published = marked(publications, columns)
+    before = published.select(
+        F.col("mark").alias("_original"), F.col("fecha").alias("fecha_programacion_original"),
+        F.col("hora").alias("hora_programacion_original"),
     )
+    selected = winners.join(published, "mark").join(before, "_original", "left").select(
+        "scope", *columns, "fuente_priorizada", "versiones_detectadas", "fecha_programacion_original", "hora_programacion_original",
+    ).distinct()
     ambiguous = matchups.where("tipo is not null").select("scope", "tipo", "versiones_detectadas")
     return Prioritized(selected, ambiguous, rejected)
 
