@@ -408,8 +408,7 @@ def null_if_blank(s):
     """SELECT id, '{"id":' || id || ',"fecha":"' || fecha || '","hora":' || coalesce('"' || hora || '"', 'null') || '}' AS json FROM r_partidos""",
 )
 def json_build(s):
-    record = F.to_json(F.struct("id", "fecha", "hora"), {"ignoreNullFields": "false"})
-    return s.partidos.select("id", record.alias("json"))
+    return s.partidos.select("id", text.json_record("id", "fecha", "hora").alias("json"))
 
 
 # --- joins, orders, set operations -------------------------------------------------------------------------------

@@ -68,9 +68,7 @@ def broken_refs(s):
 
 @query("null_safe_neq", "SELECT id FROM r_facts WHERE home_id IS NOT NULL AND away_id IS NOT NULL AND other_season")
 def null_safe_neq(s):
-    facts = _facts(s).where("home_id is not null and away_id is not null")
-    differs = [~F.col(f"{side}_scope.temporada_id").eqNullSafe(F.col("temporada_id")) for side in ("home", "away")]
-    return facts.where(differs[0] | differs[1]).select("id")
+    return ops.of_another_season(_facts(s)).select("id")
 
 
 @query(
@@ -79,13 +77,7 @@ def null_safe_neq(s):
     AND visitante_equipo_id IN (SELECT id FROM r_equipos WHERE activo)""",
 )
 def exists_checks(s):
-    active = s.equipos.where("activo").select("id")
-    matches = s.partidos_defectuosos.join(
-        s.temporadas.select(F.col("id").alias("temporada_id")), "temporada_id", "left_semi"
-    )
-    for side in ("local_equipo_id", "visitante_equipo_id"):
-        matches = matches.join(active.withColumnRenamed("id", side), side, "left_semi")
-    return matches.select("id")
+    return ops.importable(s.partidos_defectuosos, s.equipos, s.temporadas).select("id")
 
 
 def _report(where: str) -> str:

@@ -131,6 +131,11 @@ def csv_cell(value: Column, is_text: bool) -> Column:
     return F.concat(F.lit('"'), F.replace(safe_cell(value, is_text), F.lit('"'), F.lit('""')), F.lit('"'))
 
 
+def json_record(*columns: str) -> Column:
+    """The columns as one JSON object in their order, nulls written out."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
 def fingerprint(*parts: Column) -> Column:
     """MD5 of the non-null parts joined by a bar."""
     return F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))

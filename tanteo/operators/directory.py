@@ -75,9 +75,8 @@ def dashboard_health(summary: DataFrame) -> DataFrame:
 def competition_directory(teams: DataFrame, matches: DataFrame) -> DataFrame:
     """Teams, matches and finished matches of each competition, ending with a total row."""
     active = active_teams(teams)
-    team_counts = active.groupBy(scope_key().alias("scope")).agg(
-        F.count("*").alias("teams"), *[F.first(c).alias(c) for c in COMPETITION]
-    )
+    # Grouped by the columns themselves: a text is no state of a hash aggregate.
+    team_counts = active.groupBy(scope_key().alias("scope"), *COMPETITION).agg(F.count("*").alias("teams"))
     match_counts = (
         within_one_scope(matches_in_scope(matches, active))
         .groupBy(F.col("home_scope").alias("scope"))

@@ -31,6 +31,21 @@ def broken_refs(partidos: DataFrame, equipos: DataFrame) -> DataFrame:
     return lost[0].unionByName(lost[1]).distinct()
 
 
+def importable(partidos: DataFrame, equipos: DataFrame, temporadas: DataFrame) -> DataFrame:
+    """Matches whose season exists and whose teams both exist and are active."""
+    active = equipos.where("activo").select("id")
+    kept = partidos.join(temporadas.select(F.col("id").alias("temporada_id")), "temporada_id", "left_semi")
+    for side in ("local_equipo_id", "visitante_equipo_id"):
+        kept = kept.join(active.withColumnRenamed("id", side), side, "left_semi")
+    return kept
+
+
+def of_another_season(facts: DataFrame) -> DataFrame:
+    """Matches of two known teams, one of which is registered for another season than the match; a missing season differs from any."""
+    differs = [~F.col(f"{side}_scope.temporada_id").eqNullSafe(F.col("temporada_id")) for side in ("home", "away")]
+    return facts.where(F.col("home_id").isNotNull() & F.col("away_id").isNotNull() & (differs[0] | differs[1]))
+
+
 def duplicate_clubs(clubes: DataFrame) -> DataFrame:
     return _groups(clubes, normalize_key(F.col("nombre")).alias("club_key"))
 

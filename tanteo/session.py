@@ -48,12 +48,3 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{scratch_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for heavy per-row work: redistribute the rows when the input has fewer splits than cores.
-
-    Meant for scans. An input with enough splits, the usual case for large data, is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

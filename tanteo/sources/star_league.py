@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tanteo.session import cut, spread
+from tanteo.session import cut
 
 SEASON_ID = 3
 COMPETITION_ID = 3
@@ -344,7 +344,7 @@ class StarLeague:
                 f"ELSE concat_ws('\\n', {side}_name, {periods}) END"
             )
 
-        played = spread(self.pairings).selectExpr(
+        played = self.pairings.repartition("match_key").selectExpr(
             "*", f"{name('home')} AS home_name", f"{name('away')} AS away_name",
             f"{total(0)} + if(match_key % 17 = 0, 1, 0) AS home_goals", f"{total(7)} AS away_goals",
         )

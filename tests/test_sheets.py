@@ -111,6 +111,12 @@ def test_sheets_are_read_whole(spark, tmp_path):
     assert sheets.parse_sheets(read).first().error is None
 
 
+def test_lines_keep_every_character_that_is_no_blank(frame):
+    """Blanks and line ends of all kinds collapse; what symbol fonts leave in a text stays."""
+    df = frame("t string", (" a\ue000  b\t\tc \r\n\n \n\u00a0d\ue000\ue000 \x0b\u2003e\n",), ("\ue000",), (" \n\t",))
+    assert [r[0] for r in df.select(sheets.sheet_lines(F.col("t"))).collect()] == [["a\ue000 b c", "d\ue000\ue000 e"], ["\ue000"], []]
+
+
 def test_csv_files(spark, frame, tmp_path):
     rows = frame("Jugador string, Goles int", ('Noa "Zeta"', -3), ("=7*7", None), ("  -x", 2), (None, 0), ("dos\nlíneas", 1))
     out = tmp_path / "out"
