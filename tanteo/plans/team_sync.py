@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tanteo.functions.text import is_blank, normalize_key, null_if_blank
 from tanteo.operators.quality import TEAM_IDENTITY
-from tanteo.operators.ranking import ranked
+from tanteo.operators.ranking import packed, packed_second, ranked
 from tanteo.session import cut
 
 ALIAS_SOURCE = "importador"
@@ -43,13 +43,13 @@ def resolve_clubs(names: DataFrame, clubes: DataFrame, club_aliases: DataFrame,
     by_alias = (
         active_aliases(club_aliases, clubes)
         .groupBy(F.col("alias_normalizado").alias("_key"))
-        .agg(F.min(F.struct("id", "club_id")).alias("_by_alias"))
+        .agg(packed_second(F.min(packed(F.col("id"), F.col("club_id")))).alias("_by_alias"))
     )
     return (
         names.withColumn("_key", club_key(F.col(name)))
         .join(by_name, "_key", "left")
         .join(by_alias, "_key", "left")
-        .withColumn("club_id", F.coalesce("_by_name", F.col("_by_alias.club_id")))
+        .withColumn("club_id", F.coalesce("_by_name", "_by_alias"))
         .drop("_key", "_by_name", "_by_alias")
     )
 
