@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tanteo.llm import (
-    best_fit_packing, decontamination, html_text, ngram_join, phrases, quality_rules, secrets, simhash, spelling,
+    best_fit_packing, decontamination, html_text, ngram_join, phrases, quality_rules, secrets, simhash, spelling, store,
     substring_dedup, token_output, toxicity, url_filters,
 )
 from tanteo.llm import sql as oracle
@@ -108,7 +108,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     # a document with two labels counts as toxic if one of them says so
     labels = table(spark, folder, "labels").where(~held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    lexicon = toxicity.fit(docs.join(labels, "doc_id"))
+    chosen = store.stored(toxicity.chosen(docs.select("doc_id"), labels))
+    lexicon = toxicity.fit(store.stored(docs.join(F.broadcast(chosen), "doc_id")))
     return toxicity.scored(docs, lexicon).select(
         "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
     )

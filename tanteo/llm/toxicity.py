@@ -48,6 +48,8 @@ _LOOK_ALIKE = {
 }
 _FOLD = {ord(k): v for k, v in _LOOK_ALIKE.items()} | {0xFF21 + i: chr(97 + i) for i in range(26)} | {0xFF41 + i: chr(97 + i) for i in range(26)}
 _WORD = re.compile(r"\w+")
+_NEXT = re.compile(r"\W+(\w+)")
+_IN_WORD = re.compile(r"\w").match
 
 
 def fold(text: str) -> str:
@@ -100,11 +102,17 @@ class Matcher:
 
 
 def _phrases(text: str, start: int, end: int) -> list[str]:
-    """The word at start:end with the word before it, and with the word behind it."""
+    """The word at start:end with the word before it, and with the word behind it, however far off they are."""
     word, out = text[start:end], []
-    if before := re.search(r"(\w+)\W+$", text[max(0, start - 80) : start]):
-        out.append(f"{before[1]} {word}")
-    if behind := re.match(r"\W+(\w+)", text[end : end + 80]):
+    last = start
+    while last and not _IN_WORD(text[last - 1]):
+        last -= 1
+    first = last
+    while first and _IN_WORD(text[first - 1]):
+        first -= 1
+    if first < last < start:
+        out.append(f"{text[first:last]} {word}")
+    if behind := _NEXT.match(text, end):
         out.append(f"{word} {behind[1]}")
     return out
 
@@ -130,13 +138,22 @@ def _entries(sample: DataFrame) -> DataFrame:
     return found.groupBy("entry", "whole").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def chosen(ids: DataFrame, labels: DataFrame, doc_id: str = "doc_id", toxic: str = "toxic", texts: int = FIT_TEXTS) -> DataFrame:
+    """(id, label) of the rows that a fit on ``ids`` would read, found without their texts: at most ``texts`` of each label."""
+    known = labels.where(F.col(toxic).isin(0, 1)).select(doc_id, toxic).join(ids.select(doc_id), doc_id, "left_semi")
+    of = lambda label: known.where(F.col(toxic) == label).orderBy(F.xxhash64(doc_id), doc_id).limit(texts)
+    return of(0).unionByName(of(1))
+
+
 def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", texts: int = FIT_TEXTS) -> Lexicon:
     """The lexicon of ``labelled`` (id, text, label 0 or 1)."""
     rows = labelled.where(F.col(toxic).isin(0, 1)).select(
         F.coalesce(text, F.lit("")).alias("text"), F.col(toxic).cast("int").alias("toxic"), F.xxhash64(doc_id).alias("_order"),
-    )
-    chosen = [rows.where(F.col("toxic") == label).orderBy("_order", F.md5("text")).limit(texts) for label in (0, 1)]
-    sample = stored(chosen[0].unionByName(chosen[1]).groupBy("text", "toxic").agg(F.count(F.lit(1)).alias("_n")).drop("_n").repartition("text"))
+    ).withColumn("_digest", F.md5("text"))
+    # the rows are chosen by digests; only the chosen texts, at most two times ``texts``, leave their place
+    keys = [rows.where(F.col("toxic") == label).select("_order", "_digest", "toxic").orderBy("_order", "_digest").limit(texts) for label in (0, 1)]
+    chosen_rows = rows.join(F.broadcast(keys[0].unionByName(keys[1]).distinct()), ["_order", "_digest", "toxic"], "left_semi")
+    sample = stored(chosen_rows.groupBy("text", "toxic").agg(F.count(F.lit(1)).alias("_n")).drop("_n").repartition("text"))
     totals = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n_clean, n_toxic = totals.get(0, 0), totals.get(1, 0)
     if not n_toxic:

@@ -117,3 +117,20 @@ def test_exception_phrases_do_not_count():
     lexicon = toxicity.Lexicon({"nasty": 5.0}, {}, frozenset({"nasty weather"}))
     matcher = toxicity.Matcher(lexicon)
     assert matcher.strength("a nasty, weather report") == 0 and matcher.strength("a nasty man") > 0 and matcher.strength("dynasty") == 0
+
+
+def test_exceptions_reach_over_any_gap():
+    lexicon = toxicity.Lexicon({"nasty": 5.0}, {}, frozenset({"nasty weather", f"{'very' * 40} nasty"}))
+    matcher = toxicity.Matcher(lexicon)
+    for gap in (" ", " " * 30, " " * 90, " -\n" * 100_000):
+        assert matcher.strength(f"nasty{gap}weather") == 0.0 < matcher.strength(f"nasty{gap}day")
+        assert matcher.strength(f"{'very' * 40}{gap}nasty") == 0.0
+    assert matcher.strength("weather nasty") > 0
+
+
+def test_ids_are_chosen_without_texts(spark):
+    ids = spark.range(100).withColumnRenamed("id", "doc_id")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50, 200)] + [(7, None), (None, 1), (8, 5)], "doc_id bigint, toxic int")
+    found = toxicity.chosen(ids, labels, texts=10).collect()
+    assert len(found) == 20 and all(50 <= r.doc_id < 100 and r.toxic == r.doc_id % 2 for r in found)
+    assert toxicity.chosen(ids, labels).count() == 50 and toxicity.chosen(ids, labels.limit(0)).count() == 0
