@@ -184,3 +184,22 @@ def test_copies_beside_shuffled_words_long_and_short_items_are_found(spark, docs
     searched = decontamination._items(benchmark.collect(), vectors, np.ones(decontamination.TERMS))
     rows = decontamination.searched(docs(*texts), searched, vectors).collect()
     assert {(r.doc_id, leak.item_id) for r in rows for leak in r.leaks} == {(3, 1), (5, 2), (6, 3)}
+
+
+def test_the_first_leak_is_that_of_asking_every_passage():
+    source = random.Random(41)
+    for _ in range(300):
+        word_at = [source.random() < 0.4 for _ in range(120)]
+        n = source.randint(1, 20)
+        starts = [source.randint(0, 100) for _ in range(n)]
+        stops = [s + source.randint(5, 20) for s in starts]
+        need = source.randint(1, 12)
+        asked = []
+
+        def leaks(a, b, word_at=word_at, need=need, asked=asked):
+            asked.append((a, b))
+            return sum(word_at[a:b]) >= need
+
+        wanted = next((i for i in range(n) if sum(word_at[starts[i] : stops[i]]) >= need), -1)
+        assert decontamination.first_leak(starts, stops, leaks) == wanted
+        assert wanted or len(asked) == 1
