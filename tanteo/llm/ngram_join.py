@@ -151,16 +151,19 @@ def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: flo
 def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD,
            recall: float = RECALL) -> DataFrame:
     """``docs`` with ``class_id``, ``n_links`` and ``n_copies`` (module docstring)."""
-    names = [c for c in docs.columns if c not in ("class_id", "n_links", "n_copies")]
-    degrees, spanning = links(docs, n, threshold, recall, text)
+    names = docs.columns
+    frame = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    own, whole = f"c{names.index(doc_id)}", f"c{names.index(text)}"
+    degrees, spanning = links(frame, n, threshold, recall, whole)
     classes = components(spanning)
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.md5(F.coalesce(text, F.lit(""))).alias("_key"))
-    copies = rows.groupBy("_key").agg(F.min(F.col(f"`{doc_id}`")).alias("_least"), F.count(F.lit(1)).alias("n_copies"))
+    rows = frame.withColumn("_key", F.md5(F.coalesce(whole, F.lit(""))))
+    copies = rows.groupBy("_key").agg(F.min(own).alias("_least"), F.count(F.lit(1)).alias("n_copies"))
     known = copies.join(classes.select(F.col("node").alias("_key"), "root"), "_key", "left").join(degrees.withColumnRenamed("key", "_key"), "_key", "left")
     known = stored(known.withColumn("root", F.coalesce("root", "_key")))
     least = known.groupBy("root").agg(F.min("_least").alias("class_id"))
     verdict = known.join(least, "root").select("_key", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    return rows.join(verdict, "_key").select(*[F.col(f"`{c}`") for c in names], "class_id", "n_links", "n_copies")
+    kept = [(i, c) for i, c in enumerate(names) if c not in ("class_id", "n_links", "n_copies")]
+    return rows.join(verdict, "_key").select(*[F.col(f"c{i}").alias(c) for i, c in kept], "class_id", "n_links", "n_copies")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -168,10 +171,12 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     Rows of a class with a null id only keep one of them.
     """
-    found = stored(joined(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.md5(F.coalesce(text, F.lit(""))).alias("digest"), F.col(f"`{text}`").alias("text"))).drop("text"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own, whole = (names[docs.columns.index(c)] for c in (doc_id, text))
+    marked = docs.toDF(*names).withColumn("_digest", F.md5(F.coalesce(whole, F.lit(""))))
+    found = stored(joined(marked.select(F.col(own).alias("doc_id"), F.col("_digest").alias("digest"), F.col(whole).alias("text"))).drop("text"))
     first = found.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("_first"))
-    chosen = first.select(F.col("_first.doc_id").alias("_id"), F.col("_first.digest").alias("_digest")).distinct()
-    marked = docs.withColumn("_digest", F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
-    kept = marked.join(chosen, (F.col(f"`{doc_id}`").eqNullSafe(F.col("_id"))) & (marked["_digest"] == chosen["_digest"]), "left_semi")
-    repeated = Window.partitionBy(f"`{doc_id}`", "_digest").orderBy(F.lit(0))
-    return kept.withColumn("_n", F.row_number().over(repeated)).where("_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    chosen = first.select(F.col("_first.doc_id").alias("_id"), F.col("_first.digest").alias("_chosen")).distinct()
+    kept = marked.join(chosen, F.col(own).eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_chosen")), "left_semi")
+    repeated = Window.partitionBy(own, "_digest").orderBy(F.lit(0))
+    return kept.withColumn("_n", F.row_number().over(repeated)).where("_n = 1").select(*names).toDF(*docs.columns)

@@ -1,17 +1,19 @@
-"""Quality rules as a cascade whose order comes from measured cost and rejections.
+"""Quality rules as a short-circuit cascade whose order comes from measured cost and rejections.
 
-Only DataFrame functions run on the executors. ``measured`` adds the counts that the rules read, ``estimate`` times each rule
-on a bounded sample and counts what it rejects there, and ``judged`` tests the rules in the order of rejections per second. All
-counts are computed for every row; the order decides which rule is named in ``failed_rule``, neither the verdict nor the work.
+Only DataFrame functions run on the executors. ``estimate`` times each rule on a bounded sample of the whole table and counts what
+it rejects there; the rules are then tested in the order of rejections per second. ``kept`` has a stage per rule: the counts that a
+rule reads are computed only for rows that no earlier rule rejected. ``judged`` keeps all rows with the counts of ``BASE``; the other
+counts are null where an earlier rule had rejected the row, and ``failed_rule`` names the first rule that did. The verdict does not
+depend on the order.
 
-A null text has no words and is rejected. Repeated rows are judged one by one. Extra columns stay; columns of ``measured`` and
-``judged`` replace columns of the same name. An empty table gives an empty table.
+A null text has no words and is rejected. Repeated rows are judged one by one. Extra columns stay, whatever their names; columns of
+``measured`` and ``judged`` replace columns of the same name. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -68,43 +70,55 @@ def _repeat_words(words: Column) -> Column:
     return found.cast("long")
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the five counts of ``BASE`` and three more that the rules read, over whole texts."""
-    whole = F.coalesce(F.col(text), F.lit(""))
+def _counts(text: Column, words: Column | None = None) -> dict[str, Column]:
+    """What the rules read, over whole texts."""
+    whole = F.coalesce(text, F.lit(""))
+    words = _words(whole) if words is None else words
     has_word = f"[^{''.join(f'\\x{ord(c):02x}' for c in WHITE)}]"
     lines = _let(F.filter(F.split(whole, "\n"), lambda line: line.rlike(has_word)), lambda x: F.size(x) - F.size(F.array_distinct(x)))
     packed = F.translate(whole, WHITE, "")
     letters = F.translate(packed, "".join(map(str, range(10))) + SYMBOLS + "!?.,;:'\"()[]{}-_=+/\\@^~`", "")
-    return docs.withColumns({
-        "_words": _words(whole),
+    return {
+        "n_words": F.size(words).cast("long"),
         "word_chars": F.length(packed).cast("long"),
         "n_symbols": (F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))).cast("long"),
-        "n_lines": F.size(F.split(whole, "\n")).cast("long"),
         "n_dup_lines": lines.cast("long"),
+        "n_repeat_words": _repeat_words(words),
+        "n_lines": F.size(F.split(whole, "\n")).cast("long"),
         "n_letters": F.length(letters).cast("long"),
         "n_upper": (F.length(letters) - F.length(F.regexp_replace(letters, "\\p{Lu}", ""))).cast("long"),
-    }).withColumns({
-        "n_words": F.size("_words").cast("long"), "n_repeat_words": _repeat_words(F.col("_words")),
-    }).drop("_words")
+    }
+
+
+def measured(docs: DataFrame, text: str = "text", only: Sequence[str] | None = None) -> DataFrame:
+    """``docs`` with the five counts of ``BASE`` and three more that the rules read (or ``only`` some of them)."""
+    split = next(n for n in (f"_words{'_' * i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+    column = F.col(f"`{text}`")
+    counts = _counts(column, F.col(split))
+    wanted = {name: counts[name] for name in (counts if only is None else only)}
+    return docs.withColumn(split, _words(F.coalesce(column, F.lit("")))).withColumns(wanted).drop(split)
 
 
 @dataclass(frozen=True)
 class Rule:
+    """``rejects`` is a condition over the counts that it ``needs``."""
+
     name: str
     rejects: Column
+    needs: tuple[str, ...]
 
 
 def default_rules() -> list[Rule]:
     """Whole-number comparisons, so that every engine agrees on them."""
     n = F.col
     return [
-        Rule("few_words", n("n_words") < 50),
-        Rule("repetition", 100 * n("n_repeat_words") > 50 * n("n_words")),
-        Rule("symbols", 100 * n("n_symbols") > 20 * n("word_chars")),
-        Rule("duplicate_lines", 100 * n("n_dup_lines") > 50 * n("n_lines")),
-        Rule("word_length", (n("word_chars") < 2 * n("n_words")) | (n("word_chars") > 20 * n("n_words"))),
-        Rule("few_letters", 100 * n("n_letters") < 50 * n("word_chars")),
-        Rule("upper_case", 100 * n("n_upper") > 60 * n("n_letters")),
+        Rule("few_words", n("n_words") < 50, ("n_words",)),
+        Rule("repetition", 100 * n("n_repeat_words") > 50 * n("n_words"), ("n_words", "n_repeat_words")),
+        Rule("symbols", 100 * n("n_symbols") > 20 * n("word_chars"), ("n_symbols", "word_chars")),
+        Rule("duplicate_lines", 100 * n("n_dup_lines") > 50 * n("n_lines"), ("n_dup_lines", "n_lines")),
+        Rule("word_length", (n("word_chars") < 2 * n("n_words")) | (n("word_chars") > 20 * n("n_words")), ("n_words", "word_chars")),
+        Rule("few_letters", 100 * n("n_letters") < 50 * n("word_chars"), ("n_letters", "word_chars")),
+        Rule("upper_case", 100 * n("n_upper") > 60 * n("n_letters"), ("n_upper", "n_letters")),
     ]
 
 
@@ -120,28 +134,47 @@ def estimate(frame: DataFrame, rules: list[Rule], rows: int = SAMPLE_ROWS, text:
 
     Each rule is timed from the raw text on: Spark computes only the counts that the rule reads.
     """
-    sample = stored(frame.select(text).limit(rows))
+    given = frame.select(F.col(f"`{text}`").alias("text"))
+    # rows of every file: twice as many as wanted, of which the first ones are taken
+    total = given.count()
+    sample = stored((given.sample(min(1.0, 2 * rows / total), seed=1) if total > rows else given).limit(rows))
     found = []
     for rule in rules:
         started = time.perf_counter()
-        total, rejected = measured(sample, text).agg(F.count(F.lit(1)), F.count_if(rule.rejects)).first()
+        total, rejected = measured(sample, only=rule.needs).agg(F.count(F.lit(1)), F.count_if(rule.rejects)).first()
         found.append(Estimate(rule.name, rejected / total if total else 0.0, time.perf_counter() - started))
     return sorted(found, key=lambda e: (-e.rejected / e.seconds, e.name))
 
 
-def judged(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``measured(docs)`` with ``failed_rule`` (the first failing rule in cascade order, else null) and ``kept``."""
+def _cascade(docs: DataFrame, rules: list[Rule] | None, text: str, sample_rows: int) -> list[Rule]:
     rules = default_rules() if rules is None else rules
     by_name = {rule.name: rule for rule in rules}
-    cascade = F.lit(None).cast("string")
-    for step in reversed(estimate(docs, rules, sample_rows, text)):
-        cascade = F.when(by_name[step.name].rejects, F.lit(step.name)).otherwise(cascade)
-    return measured(docs, text).withColumn("failed_rule", cascade).withColumn("kept", F.col("failed_rule").isNull())
+    return [by_name[step.name] for step in estimate(docs, rules, sample_rows, text)]
 
 
-def kept(docs: DataFrame, text: str = "text") -> DataFrame:
+def judged(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``docs`` with counts, ``failed_rule`` (the first failing rule in cascade order, else null) and ``kept`` (module docstring)."""
+    counts = _counts(F.col(f"`{text}`"))
+    cascade = _cascade(docs, rules, text, sample_rows)
+    known = set(BASE)
+    out = measured(docs, text, BASE).withColumn("failed_rule", F.lit(None).cast("string"))
+    open_ = F.col("failed_rule").isNull()
+    for rule in cascade:
+        out = out.withColumns({name: F.when(open_, counts[name]) for name in rule.needs if name not in known})
+        known |= {*rule.needs}
+        out = out.withColumn("failed_rule", F.when(~open_, F.col("failed_rule")).when(rule.rejects, F.lit(rule.name)))
+    return out.withColumn("kept", open_)
+
+
+def kept(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of ``docs`` that pass every rule, with the columns of ``docs``."""
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    # a generator of one row: the filter stays above it, so that the counts are not computed again for each rule that reads them
-    verdict = F.inline(F.array(F.struct(F.col("kept").alias("_passes"))))
-    return judged(docs, text=text).select(*names, verdict).where("_passes").select(*names)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    counts = _counts(F.col(names[docs.columns.index(text)]))
+    out, known = docs.toDF(*names), set()
+    for rule in _cascade(docs, rules, text, sample_rows):
+        if new := [name for name in rule.needs if name not in known]:
+            # a generator of one row: the filters before it stay below, so that rejected rows do not reach it, and those behind above
+            out = out.select("*", F.inline(F.array(F.struct(*[counts[name].alias(name) for name in new]))))
+            known |= {*new}
+        out = out.where(~F.coalesce(rule.rejects, F.lit(False)))
+    return out.select(*names).toDF(*docs.columns)

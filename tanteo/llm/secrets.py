@@ -157,26 +157,31 @@ def scan(texts: pa.Array, rules: tuple[Rule, ...] = RULES) -> list[list[tuple[st
 def scanned(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with ``spans``: every match of every rule in the whole text."""
     names = [c for c in docs.columns if c != "spans"]
-    frame = docs.select(*[F.col(f"`{c}`") for c in names])
+    places = [f"c{i}" for i in range(len(names))]
+    frame = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(names, places, strict=True)])
     schema = T.StructType([*frame.schema.fields, T.StructField("spans", T._parse_datatype_string(SPAN))])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    at = places[names.index(text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, text):
-                spans = [[{"kind": k, "start": a, "end": b} for k, a, b in row] for row in scan(part.column(text), rules)]
+            for part in chunks(batch, at):
+                spans = [[{"kind": k, "start": a, "end": b} for k, a, b in row] for row in scan(part.column(at), rules)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(spans, kind)], names=[*part.schema.names, "spans"])
 
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(run, schema).toDF(*names, "spans")
 
 
 def redacted(docs: DataFrame, text: str = "text", mark: str = MARK) -> DataFrame:
     """``docs`` with every secret replaced by ``mark``; overlapping spans are replaced as one. Texts without secrets stay as they are."""
+    frame = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    at_text = f"c{docs.columns.index(text)}"
+
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, text):
-                column = part.column(text).to_pylist()
-                for row, spans in enumerate(scan(part.column(text))):
+            for part in chunks(batch, at_text):
+                column = part.column(at_text).to_pylist()
+                for row, spans in enumerate(scan(part.column(at_text))):
                     if spans:
                         old, out, at = column[row], [], 0
                         for _, start, end in sorted(spans, key=lambda s: s[1:]):
@@ -184,7 +189,7 @@ def redacted(docs: DataFrame, text: str = "text", mark: str = MARK) -> DataFrame
                                 out += [old[at:start], mark]
                             at = max(at, end)
                         column[row] = "".join(out) + old[at:]
-                i = part.schema.get_field_index(text)
+                i = part.schema.get_field_index(at_text)
                 yield part.set_column(i, part.schema.field(i), pa.array(column, part.schema.field(i).type))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return frame.mapInArrow(clean, frame.schema).toDF(*docs.columns)

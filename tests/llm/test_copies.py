@@ -203,3 +203,13 @@ def test_the_first_leak_is_that_of_asking_every_passage():
         wanted = next((i for i in range(n) if sum(word_at[starts[i] : stops[i]]) >= need), -1)
         assert decontamination.first_leak(starts, stops, leaks) == wanted
         assert wanted or len(asked) == 1
+
+
+def test_columns_of_any_name_stay(spark, prose):
+    rows = [(1, prose(60, 1), "k", 2, 3.0, "d"), (2, prose(60, 1), "k", 2, 3.0, "d"), (3, None, None, None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id int, text string, _key string, root int, `a.b` double, _digest string")
+    found = ngram_join.joined(frame)
+    assert found.columns == [*frame.columns, "class_id", "n_links", "n_copies"]
+    assert sorted(tuple(r)[:6] for r in found.collect()) == rows and [r.class_id for r in found.orderBy("doc_id").collect()] == [1, 1, 3]
+    kept = ngram_join.one_of_each(frame)
+    assert kept.columns == frame.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]

@@ -8,6 +8,7 @@ from collections import Counter
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tanteo.llm import quality_rules, secrets, toxicity, url_filters
 
@@ -41,6 +42,35 @@ def test_verdict_does_not_depend_on_the_order(docs, prose):
     assert quality_rules.judged(frame.limit(0)).count() == 0
 
 
+def test_a_rejected_row_costs_no_later_count(spark, docs, prose, monkeypatch):
+    """A count that fails on one text: only a cascade that rejects the text first gets through."""
+    frame = docs("bad", prose(80, 1), prose(80, 2).upper())
+    counts = quality_rules._counts
+
+    def failing(text, words=None):
+        late = ("n_letters", "n_upper", "n_lines")
+        return {n: F.when(text == "bad", F.raise_error(F.lit("late"))).otherwise(c) if n in late else c for n, c in counts(text, words).items()}
+
+    order = [r.name for r in quality_rules.default_rules()]
+    steps = lambda names: lambda *_: [quality_rules.Estimate(n, 0.1, 1.0) for n in names]
+    monkeypatch.setattr(quality_rules, "_counts", failing)
+    monkeypatch.setattr(quality_rules, "estimate", steps(order))
+    assert [r.doc_id for r in quality_rules.kept(frame).collect()] == [1]
+    assert {r.doc_id: r.failed_rule for r in quality_rules.judged(frame).collect()} == {0: "few_words", 1: None, 2: "upper_case"}
+    monkeypatch.setattr(quality_rules, "estimate", steps(order[::-1]))
+    for run in (quality_rules.kept, quality_rules.judged):
+        with pytest.raises(Exception, match="late"):
+            run(frame).collect()
+
+
+def test_columns_of_any_name_stay(spark, prose):
+    row = (1, prose(80, 1), 7, "w", 0.5, "n")
+    frame = spark.createDataFrame([row], "doc_id int, text string, _words int, n_words string, `a.b` double, c0 string")
+    assert [tuple(r) for r in quality_rules.kept(frame).collect()] == [row] and quality_rules.kept(frame).columns == frame.columns
+    found = quality_rules.judged(frame).first()
+    assert (found["_words"], found["n_words"], found["a.b"], found["kept"]) == (7, 80, 0.5, True)
+
+
 BASE = {
     "assign": re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
     "access": re.compile("AKIA[A-Z0-9]+"), "hex": re.compile("[0-9a-f]+"),
@@ -134,3 +164,9 @@ def test_ids_are_chosen_without_texts(spark):
     found = toxicity.chosen(ids, labels, texts=10).collect()
     assert len(found) == 20 and all(50 <= r.doc_id < 100 and r.toxic == r.doc_id % 2 for r in found)
     assert toxicity.chosen(ids, labels).count() == 50 and toxicity.chosen(ids, labels.limit(0)).count() == 0
+
+
+def test_secrets_take_columns_of_any_name(spark):
+    frame = spark.createDataFrame([(1, "password=abcdefgh1", 2, 3), (2, None, None, None)], "doc_id int, text string, `a.b` int, c0 int")
+    assert secrets.scanned(frame).columns == [*frame.columns, "spans"] and len(secrets.scanned(frame).orderBy("doc_id").first().spans) == 1
+    assert [tuple(r) for r in secrets.redacted(frame).orderBy("doc_id").collect()] == [(1, secrets.MARK, 2, 3), (2, None, None, None)]
