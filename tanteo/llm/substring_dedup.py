@@ -3,9 +3,11 @@
 Seeds are hashes of ``K`` words, one for every run of ``WINDOW`` neighbouring hashes (the smallest), so two texts with an equal
 passage of ``K + WINDOW - 1`` words share a seed; a seed and the one behind it are a seed, too. All texts with a seed meet its head,
 the text with the smallest key, and not each other: rows grow with the occurrences, not with their pairs. A seed in a frequent
-phrase has a head that need not share more than the phrase. So every run of ``MIN_WORDS`` words has a head as well, at every place
-of every text: any head of such a run shares a whole passage, at whatever place it has the run, and each word that stands in an
-equal passage of ``MIN_WORDS`` words with any other text is in a span, except in the run's head itself.
+phrase has a head that need not share more than the phrase. So every run of ``MIN_WORDS`` words that may stand in two texts has a
+head as well, at every place of every text: any head of such a run shares a whole passage, at whatever place it has the run, and
+each word that stands in an equal passage of ``MIN_WORDS`` words with any other text is in a span, except in the run's head itself. A
+run may stand in two texts if all seeds that are chosen by windows inside it do, since both texts choose the same ones there;
+these seeds are looked up in a bitmap of bounded size, which can only let more runs through.
 
 The seeds that a text shares with one head are chained in word order on both sides; a chain earns a seed's new words and pays
 ``GAP`` for every word skipped on either side, and a Fenwick tree over the head's positions finds the best chain to extend. A chain is extended over equal words at both ends and aligned: it is a
@@ -28,9 +30,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tanteo.llm.bitmap import bitmap_of, has
 from tanteo.llm.store import stored
 from tanteo.llm.text import chunks, grams, mixed, words
 
@@ -46,13 +50,13 @@ RESULT = ("spans", "n_words", "n_repeat_words", "n_first_words", "copy_of")
 _BLANK = "[\\x20\\x09-\\x0D]+"
 
 
-def smallest(values: np.ndarray, begins: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Places of the smallest value of every run of ``window`` neighbours inside one text (of a shorter text, of all it has)."""
+def _least(values: np.ndarray, begins: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the smallest of each value and the ``window`` - 1 behind it inside one text stands, and whether there are so many."""
     owner = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
     place, least, size = np.arange(len(values)), values.copy(), 1
     if not len(values):
-        return place
+        return place, np.zeros(0, bool)
     # the best of the next 2, 4, 8 ... values; the window is a power of two
     while size < window:
         other, at = np.full_like(least, top), place.copy()
@@ -62,15 +66,42 @@ def smallest(values: np.ndarray, begins: np.ndarray, window: int = WINDOW) -> np
         other[beyond] = top
         better = other < least
         least, place, size = np.where(better, other, least), np.where(better, at, place), 2 * size
-    whole = np.arange(len(values)) + window <= begins[1:][owner]
+    return place, np.arange(len(values)) + window <= begins[1:][owner]
+
+
+def smallest(values: np.ndarray, begins: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Places of the smallest value of every run of ``window`` neighbours inside one text (of a shorter text, of all it has)."""
+    place, whole = _least(values, begins, window)
     whole[begins[:-1][np.diff(begins) > 0]] = True
     return np.unique(place[whole])
 
 
-def _seeds(docs: DataFrame, text: str, k: int = K, window: int = WINDOW) -> DataFrame:
+def repeatable(hashed: np.ndarray, offsets: np.ndarray, bitmap: np.ndarray, k: int = MIN_WORDS) -> np.ndarray:
+    """For each run of ``k`` words (as ``grams`` has them), whether all seeds chosen by windows inside it are in the bitmap."""
+    found, begins = grams(hashed, offsets, K)
+    runs = np.diff(grams_begin(offsets, k))
+    place, _ = _least(found, begins, WINDOW)
+    # seeds not in the bitmap, summed up to each place
+    missing = np.concatenate(([0], np.cumsum(~has(bitmap, found[place])))) if len(found) else np.zeros(1, np.int64)
+    inside = k - K + 1 - WINDOW + 1
+    at = np.repeat(begins[:-1] - np.concatenate(([0], np.cumsum(runs)))[:-1], runs) + np.arange(runs.sum())
+    long = np.repeat(np.diff(offsets) >= k, runs)
+    out = np.zeros(len(at), bool)
+    out[long] = missing[at[long] + inside] == missing[at[long]]
+    return out
+
+
+def grams_begin(offsets: np.ndarray, n: int) -> np.ndarray:
+    """Where each text's runs of ``n`` words begin."""
+    lengths = np.diff(offsets)
+    return np.concatenate(([0], np.cumsum(np.where(lengths >= n, lengths - n + 1, np.minimum(lengths, 1)))))
+
+
+def _seeds(docs: DataFrame, text: str, k: int = K, window: int = WINDOW, sent: Broadcast | None = None) -> DataFrame:
     """(seed, key, at): one row for each seed of a text, with all its places; a line that fills a text is one row, not thousands.
 
-    With a ``window`` of one, every run of ``k`` words is a seed; otherwise, pairs of neighbouring seeds are seeds at the first's place.
+    With a ``window`` of one, every run of ``k`` words is a seed that may stand in two texts, by the bitmap ``sent``; otherwise, pairs of
+    neighbouring seeds are seeds at the first's place.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +109,7 @@ def _seeds(docs: DataFrame, text: str, k: int = K, window: int = WINDOW) -> Data
             for part in chunks(batch):
                 hashed, offsets = words(part.column("text"))
                 found, begins = grams(hashed, offsets, k)
-                at = smallest(found, begins, window)
+                at = smallest(found, begins, window) if window > 1 else np.flatnonzero(repeatable(hashed, offsets, sent.value, k))
                 row = np.searchsorted(begins, at, side="right") - 1
                 at, row = at[(whole := np.diff(offsets)[row] >= k)], row[whole]
                 seed = found[at].view(np.int64)
@@ -230,14 +261,20 @@ def passages(docs: DataFrame, text: str = "text") -> DataFrame:
     """(key, head, a, b, c, d): words a to b of the text ``key`` repeat words c to d of the text ``head``."""
     given = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{text}`").alias("text"))
 
-    def shared(k: int, window: int) -> DataFrame:
+    def heads(seeds: DataFrame) -> DataFrame:
+        found = seeds.groupBy("seed").agg(F.min("key").alias("head"), F.max("key").alias("_last"), F.min_by(F.col("at")[0], F.col("key")).alias("there"))
+        return found.where("head != _last").drop("_last")
+
+    def shared(seeds: DataFrame, heads: DataFrame) -> DataFrame:
         """(key, head, at, there): the places of each seed that a text shares with its head."""
-        seeds = _seeds(given, "text", k, window).repartition("seed")
-        heads = seeds.groupBy("seed").agg(F.min("key").alias("head"), F.max("key").alias("_last"), F.min_by(F.col("at")[0], F.col("key")).alias("there"))
-        return seeds.join(heads.where("head != _last"), "seed").where("key != head").select("key", "head", "at", "there").distinct().withColumn("at", F.explode("at"))
+        return seeds.join(heads, "seed").where("key != head").select("key", "head", "at", "there").distinct().withColumn("at", F.explode("at"))
 
+    seeds = _seeds(given, "text").repartition("seed")
+    first = stored(heads(seeds))
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap_of(first, "seed"))
+    runs = _seeds(given, "text", MIN_WORDS, 1, sent).repartition("seed")
     # a seed and its pair may have the same head and place
-    links = shared(K, WINDOW).distinct().withColumn("equal", F.lit(False)).unionByName(shared(MIN_WORDS, 1).withColumn("equal", F.lit(True)))
+    links = shared(seeds, first).distinct().withColumn("equal", F.lit(False)).unionByName(shared(runs, heads(runs)).withColumn("equal", F.lit(True)))
     found = stored(links.groupBy("key").applyInPandas(_chained, "key bigint, head bigint, a int, b int, c int, d int"))
     texts = given.select(F.xxhash64("text").alias("key"), "text").dropDuplicates(["key"])
     texts = texts.select("key", F.array_remove(F.split(F.lower("text"), _BLANK), "").alias("_words"))

@@ -8,8 +8,10 @@ import random
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import functions as F
 
 from tanteo.llm import decontamination, ngram_join, substring_dedup
+from tanteo.llm.bitmap import bitmap_of
 from tanteo.llm.components import components
 from tanteo.llm.text import words
 
@@ -213,3 +215,32 @@ def test_columns_of_any_name_stay(spark, prose):
     assert sorted(tuple(r)[:6] for r in found.collect()) == rows and [r.class_id for r in found.orderBy("doc_id").collect()] == [1, 1, 3]
     kept = ngram_join.one_of_each(frame)
     assert kept.columns == frame.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
+
+
+def test_every_run_that_two_texts_have_may_be_repeated(spark, prose):
+    """The bitmap lets all shared runs of words through, and few others."""
+    source = random.Random(51)
+    texts = [prose(300, s) for s in range(12)]
+    for _ in range(10):
+        i, j = source.sample(range(12), 2)
+        a, b = (texts[k].split() for k in (i, j))
+        at, n = source.randint(0, 200), source.randint(40, 90)
+        texts[j] = " ".join([*b[: source.randint(0, len(b))], *a[at : at + n], *b[-source.randint(0, 50) :]])
+    texts += ["", "one two", " ".join(texts[0].split()[:40]), "x " * 100]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    seeds = substring_dedup._seeds(frame, "text")
+    often = seeds.groupBy("seed").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a != b")
+    bitmap = bitmap_of(often, "seed")
+    hashed, offsets = words(pa.array(texts))
+    found = substring_dedup.repeatable(hashed, offsets, bitmap)
+    runs = {}
+    for i, (a, b) in enumerate(zip(offsets, offsets[1:], strict=False)):
+        for p in range(a, b - 39):
+            runs.setdefault(tuple(hashed[p : p + 40].tolist()), set()).add(i)
+    begins, shared = substring_dedup.grams_begin(offsets, 40), 0
+    for i, (a, b) in enumerate(zip(offsets, offsets[1:], strict=False)):
+        for n, p in enumerate(range(a, b - 39)):
+            if len(runs[tuple(hashed[p : p + 40].tolist())]) > 1:
+                shared += 1
+                assert found[begins[i] + n]
+    assert shared > 100 and found.sum() < 2 * shared + 100 and len(found) == begins[-1]
