@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,60 +21,88 @@ BASE = {
     "local": "Molino Azul", "visitante": "Los Cerezos", "local_equipo_codigo": "A",
     "visitante_equipo_codigo": "C", "tipo_fuente": "fecha_normal", "local_equipo_id": None, "visitante_equipo_id": None,
 }
-IDS = {"local_equipo_id": 31, "visitante_equipo_id": 32}
-MOVED = {"fecha": "2025-04-19", "hora": "19:15", "tipo_fuente": "reprogramacion"}
-
-
-def feed(frame, *changes):
-    return frame(FEED, *[(i, *(BASE | change).values()) for i, change in enumerate(changes)])
-
-
-def prioritized(frame, *changes):
-    result = publications.prioritize(feed(frame, *changes))
-    return result.selected.collect(), result.ambiguous.collect(), [r.error for r in result.rejected.orderBy("seq").collect()]
-
-
-def test_same_clubs_in_two_categories_are_two_match_ups(frame):
-    selected, ambiguous, rejected = prioritized(frame, {}, {"categoria": "Menores", "division": "Zona Sur", "fecha": "2025-04-13"})
-    assert (len(selected), ambiguous, rejected) == (2, [], [])
-
-
-def test_one_rescheduling_wins(frame):
-    (row,), ambiguous, _ = prioritized(frame, IDS, IDS | MOVED)
-    assert (row.fecha, row.fuente_priorizada, row.versiones_detectadas) == ("2025-04-19", "reprogramacion", 2)
-    assert (row.fecha_programacion_original, row.hora_programacion_original, ambiguous) == ("2025-04-12", "16:30", [])
-
-
-def test_two_reschedulings_are_ambiguous(frame):
-    selected, (row,), _ = prioritized(frame, IDS | MOVED, IDS | MOVED | {"fecha": "2025-04-20"})
-    assert (selected, row.tipo) == ([], "multiples_reprogramaciones")
-
-
-def test_two_normal_dates_are_ambiguous(frame):
-    selected, (row,), _ = prioritized(frame, {}, {"fecha": "2025-04-13"})
-    assert (selected, row.tipo) == ([], "mismo_cruce_repetido")
-
-
-def test_repeats_do_not_make_ambiguity(frame):
-    (row,), ambiguous, _ = prioritized(frame, IDS, IDS)
-    assert (row.versiones_detectadas, ambiguous) == (2, [])
-
-
-def test_team_letter_is_part_of_the_identity(frame):
-    keys = publications.identified(feed(frame, {}, {"local_equipo_codigo": "b"})).select("scope").distinct()
-    assert keys.count() == 2
+PARTS = {
+    "fecha": ["2025-04-12", "2025-04-19", "2025-04-20", " "], "hora": ["16:30", "16:30:00", "19:15", None], "categoria": ["Cadetes", "CADETES ", "Menores", ""],
+    "division": ["Zona Norte"], "rama": ["F", " f", "X"], "local": ["Molino Azul", "molino  azul", "Faro"], "visitante": ["Los Cerezos", "Molino Azul"],
+    "local_equipo_codigo": ["A", "b", None, " "], "visitante_equipo_codigo": ["C"], "tipo_fuente": ["fecha_normal", "reprogramacion", "otra"],
+}
+#: Of the first value of each part so many in ten (what is left is drawn from all): most publications are sound, and match-ups recur.
+USUAL = 9
+
+
+def publication(source):
+    row = {c: v[0] if source.random() < USUAL / 10 else source.choice(v) for c, v in PARTS.items()}
+    row["tipo_fuente"] = source.choice(PARTS["tipo_fuente"][:2]) if row["tipo_fuente"] != "otra" else "otra"
+    home, away = source.choice([(None, None)] * 25 + [(31, 32 + source.randint(0, 40))] * 20 + [(31, None), (31, 31), (0, 0)])
+    return row | {"division": f"Zona {source.randint(1, 40)}", "local_equipo_id": home, "visitante_equipo_id": away}
+
+
+def identity(row):
+    """(match-up, None) or (None, what is wrong with the publication)."""
+    text = lambda c: (row[c] or "").strip()
+    key = lambda c: " ".join(text(c).lower().split())
+    home, away = (row[c] if (row[c] or 0) > 0 else None for c in ("local_equipo_id", "visitante_equipo_id"))
+    codes = [("A" if row[c] is None else text(c)).upper() for c in ("local_equipo_codigo", "visitante_equipo_codigo")]
+    named = home is None and away is None
+    wrong = [
+        (not text("categoria"), "Fixture sin categoria"), (text("rama").upper() not in ("M", "F"), f"Rama inválida: {text('rama').upper()}"),
+        ((home is None) != (away is None), "Fixture con un solo equipo_id resuelto"),
+        (home is not None and home == away, "Local y visitante no pueden ser el mismo equipo"),
+        (named and key("local") == key("visitante"), "Clubes local/visitante inválidos"), (named and "" in codes, "Fixture sin equipo_codigo"),
+        (row["tipo_fuente"] == "otra", "tipo_fuente inválido: otra"), (not text("fecha"), "Fixture sin fecha"),
+    ]
+    error = next((message for bad, message in wrong if bad), None)
+    if error:
+        return None, error
+    return ((home, away) if not named else (text("rama").upper(), key("categoria"), key("division"), key("local"), codes[0], key("visitante"), codes[1])), None
+
+
+def priority(rows):
+    """The rule in plain words: per match-up, equal dates and times count once; a single rescheduling wins, several are ambiguous; without
+    one, a single date wins. Gives the winners by their number, with what they are and replace, and the number of ambiguous match-ups."""
+    matchups: dict = {}
+    for seq, row in enumerate(rows):
+        scope, error = identity(row)
+        if not error:
+            when = (row["fecha"].strip(), (row["hora"] or "").strip()[:5])
+            matchups.setdefault(scope, {}).setdefault(row["tipo_fuente"], {}).setdefault(when, []).append(seq)
+    winners, ambiguous = {}, []
+    for kinds in matchups.values():
+        normal, moved = kinds.get("fecha_normal", {}), kinds.get("reprogramacion", {})
+        versions = sum(len(seqs) for kind in (normal, moved) for seqs in kind.values())
+        if len(moved) > 1 or (not moved and len(normal) > 1):
+            ambiguous.append(("multiples_reprogramaciones" if moved else "mismo_cruce_repetido", versions))
+            continue
+        (first, *_) = (moved or normal).values()
+        replaced = rows[next(iter(normal.values()))[0]] if moved and len(normal) == 1 else None
+        winners[first[0]] = ("reprogramacion" if moved else "fecha_normal", versions, replaced and replaced["fecha"], replaced and replaced["hora"])
+    return winners, sorted(ambiguous)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_publications_follow_the_rule(frame, seed):
+    source = random.Random(seed)
+    rows = [publication(source) for _ in range(250)]
+    columns = [c.split()[0] for c in FEED.split(", ")][1:]
+    result = publications.prioritize(frame(FEED, *[(i, *(row[c] for c in columns)) for i, row in enumerate(rows)]))
+    errors = {r.seq: r.error for r in result.rejected.collect()}
+    assert errors == {i: error for i, row in enumerate(rows) if (error := identity(row)[1])}
+    winners, ambiguous = priority(rows)
+    found = {
+        r.seq: (r.fuente_priorizada, r.versiones_detectadas, r.fecha_programacion_original, r.hora_programacion_original)
+        for r in result.selected.collect()
+    }
+    assert found == winners
+    assert sorted((r.tipo, r.versiones_detectadas) for r in result.ambiguous.collect()) == ambiguous
+    assert len(winners) > 30 and ambiguous and len(set(errors.values())) > 5
 
 
-def test_broken_publications_are_rejected(frame):
-    _, _, errors = prioritized(
-        frame, {"categoria": ""}, {"rama": "X"}, {"local_equipo_id": 31}, IDS | {"visitante_equipo_id": 31},
-        {"visitante": "MOLINO  azul"}, {"tipo_fuente": "otra"}, {"fecha": " "}, {"local_equipo_codigo": " "},
-    )
-    assert errors == [
-        "Fixture sin categoria", "Rama inválida: X", "Fixture con un solo equipo_id resuelto",
-        "Local y visitante no pueden ser el mismo equipo", "Clubes local/visitante inválidos", "tipo_fuente inválido: otra",
-        "Fixture sin fecha", "Fixture sin equipo_codigo",
-    ]
+def test_publications_with_one_number_leave_one(frame):
+    """``seq`` may repeat: equal publications are one, and of different ones under one number any may win."""
+    row = tuple(BASE.values())
+    result = publications.prioritize(frame(FEED, (4, *row), (4, *row), (9, *row)))
+    (found,) = result.selected.collect()
+    assert (found.seq, found.versiones_detectadas, result.ambiguous.count()) == (4, 3, 0)
 
 
 ROW = {
