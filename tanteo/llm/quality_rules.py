@@ -70,33 +70,60 @@ def _repeat_words(words: Column) -> Column:
     return found.cast("long")
 
 
-def _counts(text: Column, words: Column | None = None) -> dict[str, Column]:
-    """What the rules read, over whole texts."""
+#: What several counts read: the words, the text without blanks, and its letters. Each is computed once and carried along.
+_PARTS = {"q_words": (), "q_packed": (), "q_letters": ("q_packed",)}
+_READS = {
+    "n_words": ("q_words",), "n_repeat_words": ("q_words",), "word_chars": ("q_packed",), "n_letters": ("q_letters",), "n_upper": ("q_letters",),
+}
+
+
+def _counts(text: Column) -> dict[str, Column]:
+    """What the rules read, over whole texts, and the parts that several of them read; by name in the columns of the frame."""
     whole = F.coalesce(text, F.lit(""))
-    words = _words(whole) if words is None else words
     has_word = f"[^{''.join(f'\\x{ord(c):02x}' for c in WHITE)}]"
     lines = _let(F.filter(F.split(whole, "\n"), lambda line: line.rlike(has_word)), lambda x: F.size(x) - F.size(F.array_distinct(x)))
-    packed = F.translate(whole, WHITE, "")
-    letters = F.translate(packed, "".join(map(str, range(10))) + SYMBOLS + "!?.,;:'\"()[]{}-_=+/\\@^~`", "")
     return {
-        "n_words": F.size(words).cast("long"),
-        "word_chars": F.length(packed).cast("long"),
+        "q_words": _words(whole),
+        "q_packed": F.translate(whole, WHITE, ""),
+        "q_letters": F.translate("q_packed", "".join(map(str, range(10))) + SYMBOLS + "!?.,;:'\"()[]{}-_=+/\\@^~`", ""),
+        "n_words": F.size("q_words").cast("long"),
+        "word_chars": F.length("q_packed").cast("long"),
         "n_symbols": (F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))).cast("long"),
         "n_dup_lines": lines.cast("long"),
-        "n_repeat_words": _repeat_words(words),
+        "n_repeat_words": _repeat_words(F.col("q_words")),
         "n_lines": F.size(F.split(whole, "\n")).cast("long"),
-        "n_letters": F.length(letters).cast("long"),
-        "n_upper": (F.length(letters) - F.length(F.regexp_replace(letters, "\\p{Lu}", ""))).cast("long"),
+        "n_letters": F.length("q_letters").cast("long"),
+        "n_upper": (F.length("q_letters") - F.length(F.regexp_replace("q_letters", "\\p{Lu}", ""))).cast("long"),
     }
 
 
+def _steps(needs: Sequence[str], known: set[str]) -> list[list[str]]:
+    """What must be added for the counts ``needs``, in steps that read earlier ones; ``known`` grows by it."""
+    parts = list(dict.fromkeys(p for name in needs for part in _READS.get(name, ()) for p in (*_PARTS[part], part)))
+    steps = [[p] for p in parts if p not in known] + [[name for name in needs if name not in known]]
+    known |= {*parts, *needs}
+    return [step for step in steps if step]
+
+
+def _placed(docs: DataFrame, text: str) -> tuple[DataFrame, list[str], dict[str, Column]]:
+    """``docs`` with its columns named by position, those names, and the counts of its text."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names, _counts(F.col(names[docs.columns.index(text)]))
+
+
+def _named(out: DataFrame, docs: DataFrame, added: Sequence[str]) -> DataFrame:
+    """The columns of ``docs`` and ``added``, which replace columns of the same name."""
+    kept = [(i, c) for i, c in enumerate(docs.columns) if c not in added]
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in kept], *added)
+
+
 def measured(docs: DataFrame, text: str = "text", only: Sequence[str] | None = None) -> DataFrame:
     """``docs`` with the five counts of ``BASE`` and three more that the rules read (or ``only`` some of them)."""
-    split = next(n for n in (f"_words{'_' * i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
-    column = F.col(f"`{text}`")
-    counts = _counts(column, F.col(split))
-    wanted = {name: counts[name] for name in (counts if only is None else only)}
-    return docs.withColumn(split, _words(F.coalesce(column, F.lit("")))).withColumns(wanted).drop(split)
+    out, _, counts = _placed(docs, text)
+    wanted = [name for name in counts if name not in _PARTS] if only is None else list(only)
+    for step in _steps(wanted, set()):
+        out = out.withColumns({name: counts[name] for name in step})
+    return _named(out, docs, wanted)
 
 
 @dataclass(frozen=True)
@@ -154,27 +181,27 @@ def _cascade(docs: DataFrame, rules: list[Rule] | None, text: str, sample_rows:
 
 def judged(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``docs`` with counts, ``failed_rule`` (the first failing rule in cascade order, else null) and ``kept`` (module docstring)."""
-    counts = _counts(F.col(f"`{text}`"))
     cascade = _cascade(docs, rules, text, sample_rows)
-    known = set(BASE)
-    out = measured(docs, text, BASE).withColumn("failed_rule", F.lit(None).cast("string"))
-    open_ = F.col("failed_rule").isNull()
+    out, _, counts = _placed(docs, text)
+    known: set[str] = set()
+    for step in _steps(BASE, known):
+        out = out.withColumns({name: counts[name] for name in step})
+    out, open_ = out.withColumn("failed_rule", F.lit(None).cast("string")), F.col("failed_rule").isNull()
     for rule in cascade:
-        out = out.withColumns({name: F.when(open_, counts[name]) for name in rule.needs if name not in known})
-        known |= {*rule.needs}
+        for step in _steps(rule.needs, known):
+            out = out.withColumns({name: F.when(open_, counts[name]) for name in step})
         out = out.withColumn("failed_rule", F.when(~open_, F.col("failed_rule")).when(rule.rejects, F.lit(rule.name)))
-    return out.withColumn("kept", open_)
+    added = [name for name in counts if name in known and name not in _PARTS]
+    return _named(out.withColumn("kept", open_), docs, [*added, "failed_rule", "kept"])
 
 
 def kept(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of ``docs`` that pass every rule, with the columns of ``docs``."""
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    counts = _counts(F.col(names[docs.columns.index(text)]))
-    out, known = docs.toDF(*names), set()
+    out, names, counts = _placed(docs, text)
+    known: set[str] = set()
     for rule in _cascade(docs, rules, text, sample_rows):
-        if new := [name for name in rule.needs if name not in known]:
+        for step in _steps(rule.needs, known):
             # a generator of one row: the filters before it stay below, so that rejected rows do not reach it, and those behind above
-            out = out.select("*", F.inline(F.array(F.struct(*[counts[name].alias(name) for name in new]))))
-            known |= {*new}
+            out = out.select("*", F.inline(F.array(F.struct(*[counts[name].alias(name) for name in step]))))
         out = out.where(~F.coalesce(rule.rejects, F.lit(False)))
     return out.select(*names).toDF(*docs.columns)

@@ -47,9 +47,9 @@ def test_a_rejected_row_costs_no_later_count(spark, docs, prose, monkeypatch):
     frame = docs("bad", prose(80, 1), prose(80, 2).upper())
     counts = quality_rules._counts
 
-    def failing(text, words=None):
+    def failing(text):
         late = ("n_letters", "n_upper", "n_lines")
-        return {n: F.when(text == "bad", F.raise_error(F.lit("late"))).otherwise(c) if n in late else c for n, c in counts(text, words).items()}
+        return {n: F.when(text == "bad", F.raise_error(F.lit("late"))).otherwise(c) if n in late else c for n, c in counts(text).items()}
 
     order = [r.name for r in quality_rules.default_rules()]
     steps = lambda names: lambda *_: [quality_rules.Estimate(n, 0.1, 1.0) for n in names]
